@@ -18,6 +18,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelrank.operators.saving import SavedModel
+
 MAX_CLASSES = 10_000
 
 
@@ -68,11 +70,14 @@ class GaussianNaiveBayes(Estimator, _BayesParams, DefaultParamsReadable, Default
         return self._copyValues(model)
 
 
-class GaussianNaiveBayesModel(Model, _BayesParams):
+class GaussianNaiveBayesModel(Model, _BayesParams, SavedModel):
     def __init__(self, labels, log_priors, means, variances):
         super().__init__()
         self.labels, self.log_priors, self.means, self.variances = labels, log_priors, means, variances
 
+    def _fitted(self) -> dict:
+        return {n: getattr(self, n) for n in ("labels", "log_priors", "means", "variances")}
+
     def log_likelihoods(self) -> Column:
         """Array with the joint log-likelihood of every label, in label order."""
         x = vector_to_array(self.getFeaturesCol())

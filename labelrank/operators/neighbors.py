@@ -27,6 +27,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelrank.functions.hashing import key_hash
+from labelrank.operators.saving import SavedModel
 from labelrank.session import small_rows
 
 _SLAB_CELLS = 4_000_000
@@ -99,13 +100,20 @@ class NearestNeighbors(Estimator, _NeighborParams, DefaultParamsReadable, Defaul
         return self._copyValues(NearestNeighborsModel(train))
 
 
-class NearestNeighborsModel(Model, _NeighborParams):
+class NearestNeighborsModel(Model, _NeighborParams, SavedModel):
     """The fitted model is the training table itself."""
 
     def __init__(self, train: DataFrame):
         super().__init__()
         self.train = train
 
+    def _save_parts(self, path: str) -> None:
+        self.train.write.parquet(f"{path}/train")
+
+    @classmethod
+    def _restore(cls, fitted: dict, path: str, spark) -> NearestNeighborsModel:
+        return cls(spark.read.parquet(f"{path}/train"))
+
     def neighbors(self, dataset: DataFrame) -> DataFrame:
         """(query, train, label, dist): up to k neighbours of every query row."""
         queries = dataset.select(

@@ -73,7 +73,8 @@ def stacking(shape: Shape, key: str = "row_key", rounds: int | None = None, fold
     """Forest and two boosted models under a logistic head."""
     all_models = tuned_models(shape, key, rounds, with_stacking=False)
     bases = [all_models[n][0] for n in ("RandomForest", "BoostedTreesA", "BoostedTreesB")]
-    return Stacking(bases, LogisticRegression(regParam=shape.reg(1.0), standardization=False), folds=folds, key=key)
+    head = LogisticRegression(regParam=shape.reg(1.0), maxIter=100 if rounds is None else min(100, rounds), standardization=False)
+    return Stacking(bases, head, folds=folds, key=key)
 
 
 def tuned_models(
@@ -88,8 +89,8 @@ def tuned_models(
     boost_a = GBTClassifier(maxDepth=6, maxIter=upto(100), stepSize=0.3, seed=SEED)
     boost_b = GBTClassifier(maxDepth=6, maxIter=upto(1000), stepSize=0.03, seed=SEED + 1)
     knn = NearestNeighbors(k=5, p=2.0, weights="uniform", keyCol=key)
-    svm = LinearSVC(regParam=shape.reg(1.0), standardization=False)
-    logistic = LogisticRegression(regParam=shape.reg(1.0), standardization=False)
+    svm = LinearSVC(regParam=shape.reg(1.0), maxIter=upto(100), standardization=False)
+    logistic = LogisticRegression(regParam=shape.reg(1.0), maxIter=upto(100), standardization=False)
     layers = [shape.features, 128, 64, 64, 32, 64, 32, 16, 2]
     ann = MultilayerPerceptronClassifier(layers=layers, seed=SEED)
 
@@ -117,7 +118,7 @@ def tuned_models(
         ),
         "ANN": (
             ann,
-            ParamGridBuilder().addGrid(ann.maxIter, [10, 20]).addGrid(ann.blockSize, [32, 64])
+            ParamGridBuilder().addGrid(ann.maxIter, [upto(n) for n in (10, 20)]).addGrid(ann.blockSize, [32, 64])
             .addGrid(ann.solver, ["l-bfgs", "gd"]).build(),
         ),
     }

@@ -49,12 +49,12 @@ rt as (
          case when s + pr = 0 then {zero} else 2 * tp / (s + pr) end f from pc
 ),
 rep as (
-  select {sel}cls as label, a as precision, b recall, f f1_score, s support from rt
+  select {sel}cls as label, a pre, b recall, f f1_score, s support from rt
   union all select {sel}'accuracy', sum(tp) / sum(s), sum(tp) / sum(s), sum(tp) / sum(s), sum(tp) / sum(s) from rt {tail}
   union all select {sel}'macro avg', avg(a), avg(b), avg(f), sum(s) from rt {tail}
   union all select {sel}'weighted avg', sum(a * s) / sum(s), sum(b * s) / sum(s), sum(f * s) / sum(s), sum(s) from rt {tail}
 )
-select {sel}label, round(precision, 6) precision, round(recall, 6) recall, round(f1_score, 6) f1_score, round(support, 6) support
+select {sel}label, round(pre, 6) as "precision", round(recall, 6) recall, round(f1_score, 6) f1_score, round(support, 6) support
 from rep"""
 
 
