@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelrank.operators.saving import SavedModel
 
 MAX_CLASSES = 10_000
+UNROLLED = 64
 
 
 class _BayesParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -64,6 +65,8 @@ class GaussianNaiveBayes(Estimator, _BayesParams, DefaultParamsReadable, Default
         overall = (share * means).sum(axis=0)
         total_var = (share * (var + (means - overall) ** 2)).sum(axis=0)
         var = var + self.getOrDefault(self.smoothing) * total_var.max()
+        if (var <= 0).any():
+            raise ValueError("a feature without variance needs smoothing and another feature that varies")
         model = GaussianNaiveBayesModel(
             [r["label"] for r in rows], np.log(share[:, 0]).tolist(), means.tolist(), var.tolist()
         )
@@ -79,22 +82,31 @@ class GaussianNaiveBayesModel(Model, _BayesParams, SavedModel):
         return {n: getattr(self, n) for n in ("labels", "log_priors", "means", "variances")}
 
     def log_likelihoods(self) -> Column:
-        """Array with the joint log-likelihood of every label, in label order."""
-        x = vector_to_array(self.getFeaturesCol())
-        parts = []
+        """Array with the joint log-likelihood of every label, in label order, from the array ``_x``.
+
+        For a modest number of terms the sum is written out, so that it is compiled with the query.
+        """
+        x, parts = F.col("_x"), []
         for prior, mean, var in zip(self.log_priors, self.means, self.variances):
             const = prior - 0.5 * sum(math.log(2 * math.pi * v) for v in var)
-            centre, spread = (F.array(*[F.lit(float(v)) for v in a]) for a in (mean, var))
-            squares = F.zip_with(F.zip_with(x, centre, lambda a, b: (a - b) * (a - b)), spread, lambda d, v: d / v)
-            parts.append(F.lit(const) - 0.5 * F.aggregate(squares, F.lit(0.0), lambda s, d: s + d))
+            if len(mean) * len(self.labels) <= UNROLLED:
+                squares = sum((x[i] - m) * (x[i] - m) / v for i, (m, v) in enumerate(zip(mean, var)))
+            else:
+                centre, spread = (F.array(*[F.lit(float(v)) for v in a]) for a in (mean, var))
+                terms = F.zip_with(F.zip_with(x, centre, lambda a, b: (a - b) * (a - b)), spread, lambda d, v: d / v)
+                squares = F.aggregate(terms, F.lit(0.0), lambda s, d: s + d)
+            parts.append(F.lit(const) - 0.5 * squares)
         return F.array(*parts)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         labels = F.array(*[F.lit(float(v)) for v in self.labels])
-        scored = dataset.withColumn("_ll", self.log_likelihoods()).withColumn("_top", F.array_max("_ll"))
+        scored = dataset.withColumn("_x", vector_to_array(self.getFeaturesCol())).withColumn(
+            "_ll", self.log_likelihoods()).withColumn("_top", F.array_max("_ll"))
         posterior = F.exp(F.element_at("_ll", -1) - F.col("_top")) / F.aggregate(
             "_ll", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("_top"))
         )
+        if len(self.labels) == 1:
+            posterior = F.lit(1.0 if self.labels[0] > 0 else 0.0)
         best = F.element_at(labels, F.array_position("_ll", F.col("_top")).cast("int"))
         return scored.select(
             *dataset.columns, best.alias(self.getPredictionCol()), posterior.alias(self.getOrDefault(self.scoreCol))

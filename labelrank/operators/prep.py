@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelrank.functions.columns import keep_columns, nan_to_null, numeric_columns, string_columns
 from labelrank.functions.hashing import hash_uniforms
@@ -54,11 +53,14 @@ def fit_fill(
     numeric = numeric_columns(df) if numeric is None else list(numeric)
     texts = string_columns(df) if texts is None else list(texts)
     rows = _rows(df, fit_on)
-    found = stats.column_means(rows, numeric) | stats.column_modes(rows, texts)
-    empty = [c for c, v in found.items() if v is None]
+    return make_fill(stats.column_means(rows, numeric), stats.column_modes(rows, texts))
+
+
+def make_fill(means: dict[str, float | None], modes: dict[str, str | None]) -> Fill:
+    empty = [c for c, v in (means | modes).items() if v is None]
     if empty:
         raise ValueError(f"no value to impute from in: {', '.join(empty)}")
-    return Fill({c: found[c] for c in numeric}, {c: found[c] for c in texts})
+    return Fill(means, modes)
 
 
 # --- category codes -------------------------------------------------------------------------------
@@ -82,21 +84,33 @@ class Codes:
 def fit_codes(df: DataFrame, cols: Sequence[str] | None = None, fit_on: Column | None = None) -> Codes:
     """Code = position of the text among the sorted distinct texts of its column (byte order)."""
     cols = string_columns(df) if cols is None else list(cols)
+    return fit_texts(df, cols, fit_on)[1]
+
+
+def fit_texts(
+    df: DataFrame, cols: Sequence[str], fit_on: Column | None = None
+) -> tuple[dict[str, str | None], Codes]:
+    """Modes and code dictionaries of text columns from one count of their values.
+
+    Filling in a mode adds no text to a column, so the dictionaries hold before and after it.
+    """
     if not cols:
-        return Codes({})
-    seen = stats.value_counts(_rows(df, fit_on), cols).select("column", "value")
-    short = small_rows(seen, SMALL_ROWS)
+        return {}, Codes({})
+    counts = stats.value_counts(_rows(df, fit_on), cols)
+    short = small_rows(counts, SMALL_ROWS)
     if short is None:
-        return Codes({c: sorted_positions(seen.where(F.col("column") == c), "value") for c in cols})
-    by_col: dict[str, list[str]] = {c: [] for c in cols}
+        modes = {r["column"]: r["mode"] for r in stats.modes_of(counts).collect()}
+        tables = {c: sorted_positions(counts.where(F.col("column") == c), "value") for c in cols}
+        return {c: modes.get(c) for c in cols}, Codes(tables)
+    seen: dict[str, dict[str, int]] = {c: {} for c in cols}
     for r in short.to_pylist():
-        by_col[r["column"]].append(r["value"])
-    return Codes(
-        {
-            c: df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(vs))], "value string, code int")
-            for c, vs in by_col.items()
-        }
-    )
+        seen[r["column"]][r["value"]] = r["n"]
+    modes = {c: min(vs, key=lambda v: (-vs[v], v), default=None) for c, vs in seen.items()}
+    tables = {
+        c: df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(vs))], "value string, code int")
+        for c, vs in seen.items()
+    }
+    return modes, Codes(tables)
 
 
 @dataclass(frozen=True)
@@ -171,12 +185,16 @@ class Cap:
 def fit_cap(
     df: DataFrame, cols: Sequence[str] | None = None, label: str | None = None, fit_on: Column | None = None,
     exact: bool = True, spread: float = 1.5, max_values: int = 2_000_000,
+    known: dict[str, stats.Summary] | None = None,
 ) -> Cap:
-    """Quartiles -/+ ``spread`` times their distance, for every numeric column but the label."""
+    """Quartiles -/+ ``spread`` times their distance, for every numeric column but the label.
+
+    ``known`` are summaries of the same rows that were made already.
+    """
     cols = numeric_columns(df, exclude=[label] if label else []) if cols is None else list(cols)
     rows = _rows(df, fit_on)
     if exact:
-        quartiles, ranges = stats.quantiles(rows, cols, [0.25, 0.75], max_values)
+        quartiles, ranges = stats.quantiles(rows, cols, [0.25, 0.75], max_values, known=known)
     else:
         quartiles, ranges = stats.approx_quantiles(rows, cols, [0.25, 0.75]), stats.column_ranges(rows, cols)
     bounds = {
@@ -232,11 +250,3 @@ def select_by_importance(
 ) -> DataFrame:
     """Columns whose importance is strictly above the threshold, and the ``keep`` columns."""
     return keep_columns(df, [c for c, v in importances.items() if v > threshold] + list(keep))
-
-
-def apply_all(df: DataFrame, steps: Sequence) -> DataFrame:
-    return reduce(lambda d, step: step.apply(d), steps, df)
-
-
-def is_numeric(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.NumericType)

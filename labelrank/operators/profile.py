@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from labelrank.functions.columns import nan_to_null
 
+# Beyond this many bandwidths the kernel is 0 in double precision.
+_REACH = 39.0
+# Values are counted before the kernel sums where each occurs more often than this on average.
+_REPEATS = 4
+
 
 def _series(df: DataFrame, col: str, flag: str | None) -> DataFrame:
     """(series, x): every row in 'all', the flagged ones also in 'winners'."""
@@ -24,7 +27,8 @@ def _summary(df: DataFrame, col: str, flag: str | None) -> dict[str, tuple]:
     rows = (
         _series(df, col, flag)
         .groupBy("series")
-        .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"))
+        .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"),
+             F.approx_count_distinct("x").alias("different"))
         .collect()
     )
     return {r["series"]: r for r in rows}
@@ -65,40 +69,43 @@ def density(df: DataFrame, col: str, flag: str | None = None, bins: int = 30, po
     """(series, point, x, density, scaled): Gaussian kernel density on a grid over the column's range.
 
     Bandwidth by Scott's rule; ``scaled`` is the density times rows times bin width, the height that fits
-    the histogram. Equal values are counted first; each value then adds one vector (its kernel on the
-    grid) to a vector sum, which Spark combines map-side, so no row is multiplied by the grid.
+    the histogram. A value adds to the grid points near it only (farther ones get exactly 0), and the sums
+    are combined in each task before the shuffle. Where values repeat a lot they are counted first.
     """
     spark = df.sparkSession
     seen = {s: r for s, r in _summary(df, col, flag).items() if r["n"] > 1 and r["lo"] < r["hi"]}
     out = "series string, point int, x double, density double, scaled double"
     if not seen:
         return spark.createDataFrame([], out)
-    plan = spark.createDataFrame(
+    plan = F.broadcast(spark.createDataFrame(
         [
             (s, r["lo"], (r["hi"] - r["lo"]) / (points - 1), r["sd"] * r["n"] ** -0.2, float(r["n"]),
              (r["hi"] - r["lo"]) / bins)
             for s, r in seen.items()
         ],
         "series string, start double, step double, bw double, rows double, width double",
-    )
-    values = _series(df, col, flag).groupBy("series", "x").agg(F.count(F.lit(1)).alias("n"))
-    steps = F.array(*[F.lit(float(i)) for i in range(points)])
-    kernel = F.transform(
-        steps,
-        lambda i: F.col("n") * F.exp(-0.5 * F.pow((F.col("start") + i * F.col("step") - F.col("x")) / F.col("bw"), F.lit(2.0))),
-    )
+    ))
+    values = _series(df, col, flag)
+    if all(r["different"] * _REPEATS < r["n"] for r in seen.values()):
+        values = values.groupBy("series", "x").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        values = values.withColumn("n", F.lit(1))
+    place, span = (F.col("x") - F.col("start")) / F.col("step"), F.col("bw") * _REACH / F.col("step")
+    first = F.greatest(F.ceil(place - span), F.lit(0)).cast("int")
+    last = F.least(F.floor(place + span), F.lit(points - 1)).cast("int")
+    z = (F.col("start") + F.col("point") * F.col("step") - F.col("x")) / F.col("bw")
+    # The nearest grid point is always there, even if it is out of reach.
+    nearest = F.least(F.floor(place + 0.5), F.lit(points - 1)).cast("int")
+    near = F.sequence(F.least(first, nearest), F.greatest(last, nearest))
     sums = (
-        values.join(F.broadcast(plan), "series")
-        .select("series", array_to_vector(kernel).alias("k"))
-        .groupBy("series")
-        .agg(Summarizer.sum(F.col("k")).alias("k"))
+        values.join(plan, "series")
+        .select("series", "x", "n", "start", "step", "bw", F.explode(near).alias("point"))
+        .groupBy("series", "point")
+        .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("total"))
     )
-    height = F.col("total") / (F.col("rows") * F.col("bw") * math.sqrt(2 * math.pi))
-    return (
-        sums.join(F.broadcast(plan), "series")
-        .select("*", F.posexplode(vector_to_array("k")).alias("point", "total"))
-        .select(
-            "series", "point", (F.col("start") + F.col("point") * F.col("step")).alias("x"),
-            height.alias("density"), (height * F.col("rows") * F.col("width")).alias("scaled"),
-        )
+    grid = plan.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    height = F.coalesce(F.col("total"), F.lit(0.0)) / (F.col("rows") * F.col("bw") * math.sqrt(2 * math.pi))
+    return grid.join(sums, ["series", "point"], "left").select(
+        "series", "point", (F.col("start") + F.col("point") * F.col("step")).alias("x"),
+        height.alias("density"), (height * F.col("rows") * F.col("width")).alias("scaled"),
     )

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelrank.session import spread, staged
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Columns of a table, on all cores even if it is one small file; for work that is heavy per row."""
+    return spread(table(spark, sf_dir, name).select(*cols))
+
+
 def player_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer and year, with statistics, two categories and gaps by rule.
 
@@ -54,6 +61,11 @@ def player_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_player_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, stored once, for queries that read them several times."""
+    return staged(player_season(spark, sf_dir), "player-season")
+
+
 PLAYER_SEASON = """
 ps as (
   select c_custkey, cast(year(o_orderdate) as int) season, c_name player, n_name tm,

@@ -10,7 +10,7 @@ from labelrank.operators.prep import assemble
 from labelrank.operators.split import holdout
 from labelrank.plans import registry, scoring, training, tuning
 from labelrank.plans.preparation import prepare
-from labelrank.queries.base import player_season, query, sql_hash, table
+from labelrank.queries.base import query, spread_table, sql_hash, stored_player_season
 from labelrank.queries.preparing import ITEM_KEYS, ITEM_NUMBERS
 from labelrank.session import scratch_path
 from labelrank.sources.tables import load_model, save_model
@@ -22,7 +22,7 @@ ROUNDS = 5
 
 def vectors(spark, sf_dir):
     """(row_key, label, features): embeddings, with the first three labels as the positive class."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
         F.col("vec_id").alias("row_key"), (F.col("label") < 3).cast("double").alias("label"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
     )
@@ -71,7 +71,7 @@ where rn = 1"""
 def _knn(spark, sf_dir, **kw):
     """Every hold-out row against all the others, all ten labels."""
     rows = holdout(
-        table(spark, sf_dir, "embeddings").select(
+        spread_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
             F.col("vec_id").alias("row_key"), "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")),
         "row_key")
     model = NearestNeighbors(k=3, p=3.0, weights="distance", **kw).fit(rows.where("not is_test"))
@@ -109,7 +109,7 @@ group by l_orderkey, l_linenumber, {', '.join(ITEM_NUMBERS)}""")
 def gaussian_nb(spark, sf_dir):
     """Three classes of items, fitted on and applied to the whole table; one row per different item."""
     flag = F.col("l_returnflag")
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread_table(spark, sf_dir, "lineitem", *ITEM_KEYS, *ITEM_NUMBERS, "l_returnflag").select(
         *ITEM_KEYS, *ITEM_NUMBERS, F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0).alias("label"))
     rows = assemble(rows, ITEM_NUMBERS)
     model = GaussianNaiveBayes().fit(rows)
@@ -129,7 +129,7 @@ def score_all(spark, sf_dir):
 @query()
 def rank_with_models(spark, sf_dir):
     """From raw statistics to ranked lists: prepare, fit on earlier seasons, rank the later ones."""
-    done = prepare(player_season(spark, sf_dir), ids=["c_custkey"], fit_on=F.col("season") < 2000)
+    done = prepare(stored_player_season(spark, sf_dir), ids=["c_custkey"], fit_on=F.col("season") < 2000)
     rows = assemble(done.table, done.features).select(
         F.col("c_custkey").alias("row_key"), "season", "player", F.col("mvp_award").alias("label"), "features")
     train = rows.where(F.col("season").between(1995, 1999))
@@ -158,14 +158,14 @@ _NET = """select vec_id, round(1 / (1 + exp(-(3 * greatest(list_avg(embedding[1:
 
 @query(_NET)
 def score_external(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = spread_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return scoring.score_external(rows, dense_net, WIDTH, "embedding").select("vec_id", F.round("score", 4).alias("score"))
 
 
 @query(_NET)
 def score_external_tensor(spark, sf_dir):
     """The same network fed with rows of shape (width, 1)."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = spread_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     scored = scoring.score_external(rows, dense_net, WIDTH, "embedding", unit_axis=True)
     return scored.select("vec_id", F.round("score", 4).alias("score"))
 

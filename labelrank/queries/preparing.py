@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from labelrank.functions import above, integer_label, to_float32
 from labelrank.operators import prep, profile, stats
 from labelrank.plans.preparation import prepare, prepare_test
-from labelrank.queries.base import LABELLED, PLAYER_SEASON, player_season, query, table
+from labelrank.queries.base import (
+    LABELLED, PLAYER_SEASON, player_season, query, spread_table, stored_player_season, table,
+)
+from labelrank.session import staged
 
 ITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ITEM_KEYS = ["l_orderkey", "l_linenumber"]
@@ -29,7 +32,7 @@ select c_custkey, season, coalesce(pos, {_mode('pos', 'ps')}) pos,
 from ps""")
 def impute_mean_mode(spark, sf_dir):
     numbers = ["fga", "ast", "award_share"]
-    df = player_season(spark, sf_dir).select("c_custkey", "season", "pos", *numbers)
+    df = staged(player_season(spark, sf_dir).select("c_custkey", "season", "pos", *numbers))
     return _rounded(prep.fit_fill(df, numbers, ["pos"]).apply(df), numbers, 4)
 
 
@@ -39,7 +42,7 @@ union all select 'ast', round(avg(ast), 4), null from ps
 union all select 'pos', null, {_mode('pos', 'ps')}
 union all select 'tm', null, {_mode('tm', 'ps')}""")
 def column_statistics(spark, sf_dir):
-    df = player_season(spark, sf_dir)
+    df = stored_player_season(spark, sf_dir)
     means, modes = stats.column_means(df, ["fga", "ast"]), stats.column_modes(df, ["pos", "tm"])
     rows = [(c, round(v, 4), None) for c, v in means.items()] + [(c, None, v) for c, v in modes.items()]
     return spark.createDataFrame(rows, "column string, mean double, mode string")
@@ -51,13 +54,13 @@ def _codes(col: str) -> str:
 
 @query(f"with {PLAYER_SEASON} select c_custkey, season, {_codes('tm')}, {_codes('pos')} from ps")
 def category_codes(spark, sf_dir):
-    df = player_season(spark, sf_dir).select("c_custkey", "season", "tm", "pos")
+    df = staged(player_season(spark, sf_dir).select("c_custkey", "season", "tm", "pos"))
     return prep.fit_codes(df, ["tm", "pos"]).apply(df)
 
 
 @query(f"with {PLAYER_SEASON} select c_custkey, season, {_codes('player')} from ps")
 def player_codes(spark, sf_dir):
-    df = player_season(spark, sf_dir).select("c_custkey", "season", "player")
+    df = staged(player_season(spark, sf_dir).select("c_custkey", "season", "player"))
     return prep.fit_codes(df, ["player"]).apply(df)
 
 
@@ -68,7 +71,7 @@ _SEGMENTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 @query(f"""with {PLAYER_SEASON}
 select c_custkey, season, {_each(_SEGMENTS, "cast(coalesce(pos = '{c}', false) as int) pos_{c}")} from ps""")
 def one_hot(spark, sf_dir):
-    df = player_season(spark, sf_dir).select("c_custkey", "season", "pos")
+    df = staged(player_season(spark, sf_dir).select("c_custkey", "season", "pos"))
     return prep.fit_one_hot(df, ["pos"]).apply(df)
 
 
@@ -166,7 +169,7 @@ capped as (
 span as (select {_each([*_FEATURES, 'mvp_award'], 'min({c}) lo_{c}, max({c}) hi_{c}')} from capped)
 select c_custkey, season, player, {_each([*_FEATURES, 'mvp_award'], _SCALED)} from capped, span""")
 def prep_flow(spark, sf_dir):
-    done = prepare(player_season(spark, sf_dir), ids=["c_custkey"])
+    done = prepare(stored_player_season(spark, sf_dir), ids=["c_custkey"])
     return _rounded(done.table, [*done.features, "mvp_award"])
 
 
@@ -183,15 +186,15 @@ hot as (
 span as (select {_each(_TEST_COLS, 'min({c}) lo_{c}, max({c}) hi_{c}')} from hot)
 select c_custkey, season, {_each(_TEST_COLS, _SCALED)} from hot, span""")
 def test_prep_flow(spark, sf_dir):
-    raw = player_season(spark, sf_dir)
+    raw = stored_player_season(spark, sf_dir)
     done = prepare_test(raw, ["player", "award_share", "tm"], ["pos"], "fga", 100, ids=["c_custkey", "season"])
     return _rounded(done, _TEST_COLS)
 
 
 @query()
 def select_by_importance(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select(
-        *ITEM_KEYS, *ITEM_NUMBERS, (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    items = spread_table(spark, sf_dir, "lineitem", *ITEM_KEYS, *ITEM_NUMBERS, "l_returnflag")
+    df = items.select(*ITEM_KEYS, *ITEM_NUMBERS, (F.col("l_returnflag") == "R").cast("int").alias("label"))
     found = prep.feature_importances(df, ITEM_NUMBERS, "label", num_trees=10, max_depth=5)
     return prep.select_by_importance(df, found, [*ITEM_KEYS, "label"])
 
@@ -200,7 +203,7 @@ def select_by_importance(spark, sf_dir):
 def prep_flow_selected(spark, sf_dir):
     """The whole flow, forest included; the forest sees the training seasons only."""
     kw = {"num_trees": 10, "max_depth": 5}
-    done = prepare(player_season(spark, sf_dir), ids=["c_custkey"], importances_kw=kw, fit_on=F.col("season") < 2000)
+    done = prepare(stored_player_season(spark, sf_dir), ids=["c_custkey"], importances_kw=kw, fit_on=F.col("season") < 2000)
     return done.table
 
 
@@ -216,7 +219,8 @@ r as (
 
 
 def _prices(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_extendedprice", (F.col("l_returnflag") == "R").alias("won"))
+    items = spread_table(spark, sf_dir, "lineitem", "l_extendedprice", "l_returnflag")
+    return items.select("l_extendedprice", (F.col("l_returnflag") == "R").alias("won"))
 
 
 @query(f"""with {_SERIES},

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelrank.operators import groups, rank
-from labelrank.queries.base import LABELLED, query, player_season
+from labelrank.queries.base import LABELLED, player_season, query, stored_player_season
 
 # Score columns that stand in for models.
 SCORES = {"by_points": "pts", "by_games": "gp", "by_assists": "ast"}
@@ -26,7 +26,7 @@ first as (
 
 
 def labelled(spark, sf_dir):
-    return groups.label_winners(player_season(spark, sf_dir))
+    return groups.label_winners(stored_player_season(spark, sf_dir))
 
 
 def scores(lab):

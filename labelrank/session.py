@@ -1,4 +1,4 @@
-"""Session-level helpers: checked broadcasts and folders every executor can reach."""
+"""Session-level helpers: checked broadcasts, stored intermediate tables, folders every executor can reach."""
 
 from __future__ import annotations
 
@@ -57,3 +57,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give ``checkpoint()`` a folder where the session has none yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def staged(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For a derived table that several jobs read: each reads the columns it needs instead of deriving the
+    table again, and a lost executor loses none of it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table that has fewer parts than there are cores, spread over all cores.
+
+    For work that is heavy per row. A table with enough parts is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
