@@ -5,12 +5,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from labelrank.operators.bayes import GaussianNaiveBayes
+from labelrank.operators.groups import label_winners
 from labelrank.operators.neighbors import NearestNeighbors
 from labelrank.operators.prep import assemble
-from labelrank.operators.split import holdout
+from labelrank.operators.split import holdout, season_between
 from labelrank.plans import registry, scoring, training, tuning
 from labelrank.plans.preparation import prepare
-from labelrank.queries.base import query, spread_table, sql_hash, stored_player_season
+from labelrank.queries.base import LABELLED, query, spread_table, sql_hash, stored_player_season
+from labelrank.queries.evaluating import _report_sql, rounded_report
 from labelrank.queries.preparing import ITEM_KEYS, ITEM_NUMBERS
 from labelrank.session import scratch_path
 from labelrank.sources.tables import load_model, save_model
@@ -242,3 +244,155 @@ def refit_best(spark, sf_dir):
     searches = _some(_searches(rows), "SVM", "LogisticRegression")
     found = tuning.grid_search(rows, searches, k=3)
     return tuning.refit_best(rows, found, searches, k=3).metrics.select("model", "fold", "accuracy", "mae")
+
+
+# --- the same flows with models that SQL can express, so that every number can be checked ------------
+
+_VECTORS = f"""
+e as (
+  select vec_id, cast(label < 3 as int) y, cast({sql_hash(42, 'vec_id')} % 5 as int) fold, embedding::double[] embedding
+  from embeddings
+)"""
+
+_BAYES_CV = f"""{_VECTORS},
+x as (select vec_id, y, fold, unnest(embedding) v, generate_subscripts(embedding, 1) dim from e),
+parts as (select unnest(range(5)) part),
+st as (select part, y cls, dim, avg(v) m, var_pop(v) s from x join parts on fold <> part group by all),
+ep as (
+  select part, 9.748288799431293e-07 * max(s) eps
+  from (select part, dim, var_pop(v) s from x join parts on fold <> part group by all) group by 1
+),
+pr as (
+  select part, y cls, ln(count(*) / sum(count(*)) over (partition by part)) prior
+  from e join parts on fold <> part group by 1, 2
+),
+ll as (
+  select vec_id, x.y, x.fold, st.cls, any_value(prior) + sum(-0.5 * ln(2 * pi() * (s + eps)) - (v - m) ** 2 / (2 * (s + eps))) ll
+  from x join st on x.fold = st.part and x.dim = st.dim join ep on ep.part = x.fold
+  join pr on pr.part = x.fold and pr.cls = st.cls group by 1, 2, 3, 4
+),
+p as (select 'GaussianNB' model, fold, y as label, arg_max(cls, ll) prediction from ll group by vec_id, fold, y)"""
+
+
+def _bayes_cv(spark, sf_dir):
+    return training.compare(vectors(spark, sf_dir), {"GaussianNB": GaussianNaiveBayes()}, cross_validate=True)
+
+
+@query(f"""with {_BAYES_CV}
+select model, fold, round(avg(cast(label = prediction as int)), 6) accuracy, round(avg(abs(label - prediction)), 6) mae,
+       true as cross_validation from p group by 1, 2""")
+def cv_metrics(spark, sf_dir):
+    metrics = _bayes_cv(spark, sf_dir).metrics
+    return metrics.select("model", "fold", F.round("accuracy", 6).alias("accuracy"), F.round("mae", 6).alias("mae"), "cross_validation")
+
+
+@query(f"with {_BAYES_CV}, {_report_sql('model, fold', 1.0)}")
+def cv_reports(spark, sf_dir):
+    return rounded_report(_bayes_cv(spark, sf_dir).reports)
+
+
+def _knn_sql(folds: str, ks: list[int], tag: str = "") -> str:
+    """Prediction of every row from the rows of other folds, for each k and weighting."""
+    return f"""
+f{tag} as ({folds}),
+d{tag} as (
+  select q.vec_id, q.y, q.fold, t.vec_id tid, t.y ty, list_distance(q.embedding, t.embedding) dist
+  from f{tag} q join f{tag} t on q.fold <> t.fold
+),
+n{tag} as (select *, row_number() over (partition by vec_id order by dist, tid) rn from d{tag} qualify rn <= {max(ks)}),
+c{tag} as (
+  select *, (k_at * 2 + w_at) candidate from (values {', '.join(f'({i}, {k})' for i, k in enumerate(ks))}) a(k_at, k),
+  (values (0, 'uniform'), (1, 'distance')) b(w_at, weights)
+),
+w{tag} as (
+  select candidate, k, weights, vec_id, y, fold, ty,
+         case when weights = 'uniform' then 1 when min(dist) over (partition by candidate, vec_id) = 0 then cast(dist = 0 as double)
+              else 1 / dist end w from n{tag} join c{tag} on rn <= k
+),
+v{tag} as (select candidate, k, weights, vec_id, y, fold, ty, round(sum(w), 6) vote from w{tag} group by all),
+pred{tag} as (select candidate, k, weights, vec_id, y, fold, arg_min(ty, (-vote, ty)) yhat from v{tag} group by all)"""
+
+
+_STRATIFIED_FOLDS = f"""select vec_id, y, embedding,
+  (row_number() over (partition by y order by {sql_hash(42, 'vec_id')}, vec_id) - 1) % 5 fold from e"""
+
+_GRID = f"""{_VECTORS}, {_knn_sql(_STRATIFIED_FOLDS, [3, 5, 7])},
+grid as (
+  select candidate, k, weights, round(avg(acc), 6) mean_accuracy
+  from (select candidate, k, weights, fold, avg(cast(y = yhat as int)) acc from pred group by all) group by 1, 2, 3
+)"""
+
+
+def _knn_search(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    searches = _some(registry.tuned_models(registry.shape_of(rows, WIDTH)), "KNN")
+    return rows, searches, tuning.grid_search(rows, searches)
+
+
+def _settings(col="params"):
+    return F.concat(F.lit("k="), F.col(col)["k"], F.lit(", weights="), F.col(col)["weights"]).alias("params")
+
+
+@query(f"""with {_GRID}
+select 'KNN' model, cast(candidate as int) candidate, 'k=' || k || ', weights=' || weights params, mean_accuracy from grid""")
+def grid_search_knn(spark, sf_dir):
+    """All six settings, by stratified five-fold accuracy."""
+    found = _knn_search(spark, sf_dir)[2]
+    return found.select("model", "candidate", _settings(), F.round("mean_accuracy", 6).alias("mean_accuracy"))
+
+
+@query(f"""with {_GRID},
+best as (select k, weights from grid order by mean_accuracy desc, candidate limit 1),
+{_knn_sql('select * from e', [3, 5, 7], '_plain')}
+select 'KNN' model, fold, round(avg(cast(y = yhat as int)), 6) accuracy
+from pred_plain join best using (k, weights) group by fold""")
+def refit_best_knn(spark, sf_dir):
+    """The best setting, cross-validated again on plain shuffled folds."""
+    rows, searches, found = _knn_search(spark, sf_dir)
+    metrics = tuning.refit_best(rows, found, searches).metrics
+    return metrics.select("model", "fold", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"""with h as (select vec_id, cast(label < 3 as double) as label, {sql_hash(42, 'vec_id')} / 4294967296.0::double < 0.2 is_test from embeddings)
+select vec_id as row_key, label, model, true as valid from h
+cross join (values ('RandomForest'), ('BoostedTreesDeep'), ('LogisticL1'), ('ANN'), ('GaussianNB'), ('KNN')) m(model) where is_test""")
+def scores_valid(spark, sf_dir):
+    """Every hold-out row has one score per model, within [0, 1], and a class of 0 or 1."""
+    rows = holdout(vectors(spark, sf_dir), "row_key")
+    train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
+    models = registry.models(registry.shape_of(train, WIDTH), rounds=3)
+    names = ("RandomForest", "BoostedTreesDeep", "LogisticL1", "ANN", "GaussianNB", "KNN")
+    scored = scoring.score_all({n: models[n].fit(train) for n in names}, test, ["row_key", "label"])
+    valid = F.col("score").between(0, 1) & F.col("prediction").isin(0, 1)
+    return scored.select("row_key", "label", "model", valid.alias("valid"))
+
+
+_POINTS_GAMES = ["gp", "pts"]
+_JOINT = " + ".join(
+    f"-0.5 * ln(2 * pi() * ({c}_v + eps)) - ({c} - {c}_m) * ({c} - {c}_m) / (2 * ({c}_v + eps))" for c in _POINTS_GAMES)
+
+
+@query(f"""with {LABELLED},
+tr as (select * from lab where season between 1995 and 1999),
+ep as (select 9.748288799431293e-07 * greatest({', '.join(f'var_pop({c})' for c in _POINTS_GAMES)}) eps from tr),
+g as (
+  select cast(mvp_award as int) cls, ln(count(*) / sum(count(*)) over ()) prior,
+         {', '.join(f'avg({c}) {c}_m, var_pop({c}) {c}_v' for c in _POINTS_GAMES)} from tr group by 1
+),
+ll as (select lab.season, player, c_custkey, cls, prior + {_JOINT} ll from lab, g, ep where season in (2000, 2001)),
+sc as (
+  select season, player, c_custkey, exp(max(case when cls = 1 then ll end) - max(ll)) / sum(exp(ll - m)) score
+  from (select *, max(ll) over (partition by season, c_custkey) m from ll) group by 1, 2, 3
+),
+top as (select *, row_number() over (partition by season order by score desc, player, c_custkey) rnk from sc qualify rnk <= 10),
+first as (select season, min_by(player, c_custkey) winner from lab where mvp_award group by 1)
+select t.season, any_value(winner) mvp, 'GaussianNB' model, string_agg(player, ', ' order by rnk) top_k,
+       coalesce(bool_or(player = winner), false) mvp_in_top_k
+from top t left join first f on t.season = f.season group by t.season""")
+def rank_with_bayes(spark, sf_dir):
+    """From labelled statistics to ranked lists: fit on the earlier seasons, rank the later ones."""
+    labelled = label_winners(stored_player_season(spark, sf_dir))
+    rows = assemble(labelled, _POINTS_GAMES).select(
+        F.col("c_custkey").alias("row_key"), "season", "player", F.col("mvp_award").cast("double").alias("label"), "features")
+    model = GaussianNaiveBayes().fit(season_between(rows, 1995, 1999))
+    return scoring.rank_seasons({"GaussianNB": model}, rows, [2000, 2001])
