@@ -184,7 +184,7 @@ class Cap:
 
 def fit_cap(
     df: DataFrame, cols: Sequence[str] | None = None, label: str | None = None, fit_on: Column | None = None,
-    exact: bool = True, spread: float = 1.5, max_values: int = 2_000_000,
+    exact: bool = True, spread: float = 1.5, max_values: int = 100_000,
     known: dict[str, stats.Summary] | None = None,
 ) -> Cap:
     """Quartiles -/+ ``spread`` times their distance, for every numeric column but the label.

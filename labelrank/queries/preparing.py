@@ -92,9 +92,9 @@ def iqr_cap(spark, sf_dir):
     f"round(quantile_cont({c}, 0.75), 6) q3, cast(min({c}) as double) lo, cast(max({c}) as double) hi from o"
     for c in ("o_custkey", "o_totalprice")))
 def exact_quantiles(spark, sf_dir):
-    """Few values are held at once, so that the bracketing search does the work."""
+    """Few values are held at once, so that the search by bins does the work."""
     df = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
-    found, ranges = stats.quantiles(df, df.columns, [0.25, 0.5, 0.75], max_values=1000, accuracy=100)
+    found, ranges = stats.quantiles(df, df.columns, [0.25, 0.5, 0.75], max_values=1000, bins=64)
     rows = [(c, *[round(v, 6) for v in found[c]], *map(float, ranges[c])) for c in df.columns]
     return spark.createDataFrame(rows, "column string, q1 double, q2 double, q3 double, lo double, hi double")
 

@@ -97,12 +97,25 @@ def test_quantiles_are_exact_with_ties(spark, max_values):
     a = np.concatenate([rng.normal(size=700), np.full(900, 0.25), rng.integers(0, 4, 400)])
     df = spark.createDataFrame([(float(v), int(v * 10)) for v in a], "x double, i int").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    found, ranges = stats.quantiles(df, ["x", "i"], probs, max_values=max_values, accuracy=50)
+    found, ranges = stats.quantiles(df, ["x", "i"], probs, max_values=max_values, bins=8)
     ints = np.array([int(v * 10) for v in a])
     assert np.allclose(found["x"], np.quantile(a, probs)) and np.allclose(found["i"], np.quantile(ints, probs))
     assert ranges["x"] == (a.min(), a.max())
 
 
+def test_quantiles_of_odd_columns(spark):
+    """Very uneven values, neighbouring doubles, an empty column; infinity is refused."""
+    uneven = [10.0 ** (i / 7) for i in range(300)] + [-(10.0**12)]
+    tight = [1.0 + (i % 3) * 2.0**-52 for i in range(301)]
+    df = spark.createDataFrame([(a, b, None) for a, b in zip(uneven, tight)], "a double, b double, c double")
+    probs = [0.01, 0.25, 0.5, 0.75]
+    found, _ = stats.quantiles(df, ["a", "b", "c"], probs, max_values=2, bins=4)
+    assert np.allclose(found["a"], np.quantile(uneven, probs), rtol=1e-12)
+    assert found["b"] == list(np.quantile(tight, probs)) and found["c"] == [None] * 4
+    with pytest.raises(ValueError, match="a"):
+        stats.quantiles(spark.createDataFrame([(1.0,), (float("inf"),)], "a double"), ["a"], probs)
+
+
 def test_thresholds(spark):
     df = spark.createDataFrame([(0.5,), (0.51,), (None,), (float("nan"),), (1.0,)], "x double")
     assert column(df.select(fn.above("x").alias("y")), "y") == [0, 1, 0, 0, 1]

@@ -26,7 +26,7 @@ def test_cap_and_scale(spark, values):
     scaled = [r.x for r in cap.scale().apply(capped).collect() if r.x is not None]
     assert all(-1e-9 <= v <= 1 + 1e-9 for v in scaled)
     want = np.quantile([v for v in values if v is not None], [0.25, 0.75])
-    got, _ = stats.quantiles(df, ["x"], [0.25, 0.75], max_values=3, accuracy=20)
+    got, _ = stats.quantiles(df, ["x"], [0.25, 0.75], max_values=3, bins=4)
     assert np.allclose(got["x"], want)
 
 
