@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelrank.operators.saving import SavedModel
 
-MAX_CLASSES = 10_000
+MAX_CLASSES = 1_000
 UNROLLED = 64
 
 

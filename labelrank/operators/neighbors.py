@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from labelrank.functions.hashing import key_hash
 from labelrank.operators.saving import SavedModel
@@ -121,19 +121,21 @@ class NearestNeighborsModel(Model, _NeighborParams, SavedModel):
         """(query, train, label, dist): up to k neighbours of every query row."""
         queries = dataset.select(
             F.col(self._get("keyCol")).alias("query"), vector_to_array(self.getFeaturesCol()).alias("x"))
-        short = small_rows(self.train.orderBy("train"), self._get("broadcastRows"))
+        limit = self._get("broadcastRows")
+        short = small_rows(self.train, limit) if limit else None
         return self._against_small(queries, short) if short is not None else self._against_cells(queries)
 
     def _hits_schema(self, queries: DataFrame) -> str:
         q, t = queries.schema["query"].dataType, self.train.schema["train"].dataType
         return f"query {q.simpleString()}, train {t.simpleString()}, label double, dist double"
 
-    def _against_small(self, queries: DataFrame, short) -> DataFrame:
-        if short.num_rows == 0:
+    def _against_small(self, queries: DataFrame, short: list[Row]) -> DataFrame:
+        if not short:
             raise ValueError("no training rows")
         k, p = self._get("k"), self._get("p")
-        keys, labels = short["train"].to_numpy(), short["label"].to_numpy()
-        shared = queries.sparkSession.sparkContext.broadcast((keys, labels, _matrix(short["x"].to_pylist())))
+        short.sort(key=lambda r: r["train"])
+        keys, labels = np.array([r["train"] for r in short]), np.array([r["label"] for r in short])
+        shared = queries.sparkSession.sparkContext.broadcast((keys, labels, _matrix([r["x"] for r in short])))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, labels, points = shared.value

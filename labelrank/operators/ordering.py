@@ -23,7 +23,7 @@ def sorted_positions(values: DataFrame, col: str, out: str = "code") -> DataFram
     spark = values.sparkSession
     short = small_rows(values.select(col))
     if short is not None:
-        ordered = sorted(short.column(0).to_pylist())
+        ordered = sorted(r[col] for r in short)
         return spark.createDataFrame(
             [(v, i) for i, v in enumerate(ordered)],
             schema=f"{col} {values.schema[col].dataType.simpleString()}, {out} int",

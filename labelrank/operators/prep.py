@@ -103,7 +103,7 @@ def fit_texts(
         tables = {c: sorted_positions(counts.where(F.col("column") == c), "value") for c in cols}
         return {c: modes.get(c) for c in cols}, Codes(tables)
     seen: dict[str, dict[str, int]] = {c: {} for c in cols}
-    for r in short.to_pylist():
+    for r in short:
         seen[r["column"]][r["value"]] = r["n"]
     modes = {c: min(vs, key=lambda v: (-vs[v], v), default=None) for c, vs in seen.items()}
     tables = {
@@ -134,7 +134,7 @@ def fit_one_hot(
     if seen is None:
         raise ValueError(f"more than {max_columns} categories; use codes instead")
     levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in seen.to_pylist():
+    for r in seen:
         levels[r["column"]].append(r["value"])
     return OneHot({c: sorted(vs) for c, vs in levels.items()})
 

@@ -218,8 +218,7 @@ r as (
 """
 
 
-def _prices(spark, sf_dir):
-    items = spread_table(spark, sf_dir, "lineitem", "l_extendedprice", "l_returnflag")
+def _prices(items):
     return items.select("l_extendedprice", (F.col("l_returnflag") == "R").alias("won"))
 
 
@@ -232,7 +231,7 @@ select r.series, cast(b.bin as int) bin, round(lo + (b.bin - 1) * (hi - lo) / 30
        round(lo + b.bin * (hi - lo) / 30, 4) hi, coalesce(c.n, 0) n
 from r cross join (select unnest(range(1, 31)) bin) b left join c on c.series = r.series and c.bin = b.bin""")
 def histogram30(spark, sf_dir):
-    return _rounded(profile.histogram(_prices(spark, sf_dir), "l_extendedprice", "won"), ["lo", "hi"], 4)
+    return _rounded(profile.histogram(_prices(table(spark, sf_dir, "lineitem")), "l_extendedprice", "won"), ["lo", "hi"], 4)
 
 
 @query(f"""with {_SERIES},
@@ -245,5 +244,6 @@ select g.series, cast(i as int) point, round(g.x, 4) x,
        round(sum(exp(-0.5 * pow((g.x - s.x) / bw, 2))) / (any_value(bw) * sqrt(2 * pi())) * any_value(width), 4) scaled
 from g join s on g.series = s.series group by g.series, i, g.x""")
 def kde_grid(spark, sf_dir):
-    df = profile.density(_prices(spark, sf_dir), "l_extendedprice", "won")
+    items = spread_table(spark, sf_dir, "lineitem", "l_extendedprice", "l_returnflag")
+    df = profile.density(_prices(items), "l_extendedprice", "won")
     return _rounded(_rounded(df, ["x", "scaled"], 4), ["density"], 12)

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 SMALL_ROWS = 100_000
 SMALL_BYTES = 64 * 1024 * 1024
+_LOOK = 1_000
 
 
-def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES):
-    """The whole of ``df`` as an Arrow table if it is small, else None.
+def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> list[Row] | None:
+    """All rows of ``df`` if they are few and small, else None.
 
-    The limit bounds what reaches the driver; a table that passes it is complete.
+    A first look at some rows is complete for a tiny table. Otherwise it tells how wide a row is, and so
+    how many rows may come to the driver at all; Spark stops reading when the limit is reached.
     """
-    taken = df.limit(max_rows + 1).toArrow()
-    return taken if taken.num_rows <= max_rows and taken.nbytes <= max_bytes else None
+    look = min(_LOOK, max_rows + 1)
+    rows = df.limit(look).collect()
+    if len(rows) == look:
+        width = max(1, len(pickle.dumps(rows)) // look)
+        allowed = min(max_rows, max_bytes // width)
+        rows = df.limit(allowed + 1).collect() if allowed >= look else None
+        if rows is None or len(rows) > allowed:
+            return None
+    return rows if len(pickle.dumps(rows)) <= max_bytes else None
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
@@ -26,10 +36,10 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL
     Measured first: a small one becomes a local relation with a broadcast hint, so the big side of the
     join is not shuffled. A larger one is returned as it is; the join then shuffles and AQE splits hot keys.
     """
-    table = small_rows(df, max_rows, max_bytes)
-    if table is None:
+    rows = small_rows(df, max_rows, max_bytes)
+    if rows is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
 _local_dirs: dict[str, str] = {}

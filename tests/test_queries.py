@@ -33,3 +33,9 @@ def test_equals_sql(spark, con, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
 def test_gives_rows(spark, sf_dir, name):
     assert queries()[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+def test_no_cross_join(spark, sf_dir, name):
+    plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
