@@ -18,7 +18,7 @@ from labelrank.functions.columns import keep_columns, nan_to_null, numeric_colum
 from labelrank.functions.hashing import hash_uniforms
 from labelrank.operators import stats
 from labelrank.operators.ordering import sorted_positions
-from labelrank.session import SMALL_ROWS, small_rows, small_side
+from labelrank.session import SMALL_ROWS, small_rows, small_side, staged
 
 
 def _rows(df: DataFrame, fit_on: Column | None) -> DataFrame:
@@ -71,6 +71,7 @@ class Codes:
     """Dictionaries (value, code) of the encoded columns; a missing or unknown text has code -1."""
 
     tables: dict[str, DataFrame]
+    sizes: dict[str, int] = field(default_factory=dict)
 
     def apply(self, df: DataFrame) -> DataFrame:
         out, new = df, {}
@@ -99,9 +100,11 @@ def fit_texts(
     counts = stats.value_counts(_rows(df, fit_on), cols)
     short = small_rows(counts, SMALL_ROWS)
     if short is None:
-        modes = {r["column"]: r["mode"] for r in stats.modes_of(counts).collect()}
+        counts = staged(counts, "text-counts")
+        found = {r["column"]: r for r in stats.modes_of(counts).collect()}
         tables = {c: sorted_positions(counts.where(F.col("column") == c), "value") for c in cols}
-        return {c: modes.get(c) for c in cols}, Codes(tables)
+        sizes = {c: found[c]["size"] if c in found else 0 for c in cols}
+        return {c: found[c]["mode"] if c in found else None for c in cols}, Codes(tables, sizes)
     seen: dict[str, dict[str, int]] = {c: {} for c in cols}
     for r in short:
         seen[r["column"]][r["value"]] = r["n"]
@@ -110,7 +113,7 @@ def fit_texts(
         c: df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(vs))], "value string, code int")
         for c, vs in seen.items()
     }
-    return modes, Codes(tables)
+    return modes, Codes(tables, {c: len(vs) for c, vs in seen.items()})
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from labelrank.functions.columns import above, integer_label
 from labelrank.operators import evaluate
 from labelrank.operators.split import holdout, kfold, stratified_holdout, stratified_kfold
+from labelrank.session import ensure_checkpoint_dir
 from labelrank.sources.tables import save_model, write_reports, write_table
 
 _COUNTS = "model string, fold int, label int, prediction int, n bigint"
@@ -72,10 +73,12 @@ def compare(
 ) -> Comparison:
     """Compare models on (key, label, features): hold-out, or k folds with ``cross_validate``.
 
-    Every fold gets a fresh copy of the estimator. ``final_fit`` also fits each model on all rows;
+    Every fold gets a fresh copy of the estimator. Boosting cuts its lineage at checkpoints, for which the
+    session gets a checkpoint folder if it has none. ``final_fit`` also fits each model on all rows;
     ``save_to`` saves the final (or hold-out) models under this folder.
     """
     spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
     labelled = integer_label(table, label)
     if label != "label":
         labelled = labelled.withColumnRenamed(label, "label")
