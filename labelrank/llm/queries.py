@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelrank.llm import langid, quality, tokencount
+from labelrank.llm import langid, mixing, quality, tokencount, tokenids
 from labelrank.llm.tables import crc_fold, written
+from labelrank.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +51,46 @@ def op6_quality_classifier(spark, sf_dir):
     train = stats.where(crc_fold() != 0).join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "statistics", "label")
     scored = quality.score(stats, quality.fit(train))
     return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(sql=r"""
+with recursive rows as (
+  select doc_id, source, md5('42:' || coalesce(cast(doc_id as varchar), '')) k,
+         cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size
+  from documents
+),
+sources as (
+  select source, cast(sum(size) as bigint) source_size,
+         case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double weight
+  from rows group by source
+),
+levels as (
+  select 0 round, (select sum(source_size) / sum(weight) from sources) level
+  union all
+  select round + 1, (select (sum(source_size) - coalesce(sum(case when weight * level > 3 * source_size then 3 * source_size end), 0))
+                            / sum(case when weight * level <= 3 * source_size then weight end) from sources)
+  from levels where round < (select count(*) from sources)
+),
+targets as (
+  select source, source_size, least(weight * (select level from levels order by round desc limit 1), 3.0 * source_size) target from sources
+),
+placed as (
+  select doc_id, source, size, coalesce(sum(size) over (partition by source order by k, size rows between unbounded preceding and 1 preceding), 0) before
+  from rows
+)
+select doc_id, size, source_size, target,
+       cast((cast(round(target) as bigint) // source_size) * size
+            + greatest(0, least(size, cast(round(target) as bigint) % source_size - before)) as bigint) taken
+from placed p join targets t on p.source is not distinct from t.source
+""")
+def op4_mix_sources(spark, sf_dir):
+    """Words that the mixture of all sources takes from every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op2_token_ids(spark, sf_dir):
+    """Token ids of every document, written as shards and read back."""
+    folder = scratch_path(spark, "token-ids")
+    tokenids.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenids.read_documents(spark, folder)
