@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelrank.llm import langid, mixing, quality, tokencount, tokenids
-from labelrank.llm.tables import crc_fold, written
+from labelrank.llm import contamination, langid, mixing, quality, simhash, tokencount, tokenids, urlfilter
+from labelrank.llm.tables import NO_ID, crc_fold, written
 from labelrank.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,115 @@ def op2_token_ids(spark, sf_dir):
     folder = scratch_path(spark, "token-ids")
     tokenids.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return tokenids.read_documents(spark, folder)
+
+
+
+def _number(digest: str) -> F.Column:
+    return F.expr(f"cast(conv(substr({digest}, 1, 8), 16, 10) as bigint)")
+
+
+FIRST_DAY = "2019-01-01"
+DAYS = 1461
+
+
+@query(sql=rf"""
+with caps as (
+  select page_id, url, date '{FIRST_DAY}' + cast(cast('0x' || substr(md5('fetch:' || page_id), 1, 8) as bigint) % {DAYS} as int) d,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) path
+  from pages
+),
+parts as (select *, string_split(host, '.') l, list_filter(string_split(path, '/'), lambda s: s <> '') s from caps),
+keys as (
+  select page_id, host, d, unnest(list_distinct(list_concat(
+    list_transform(range(1, greatest(2, len(l))), lambda i: array_to_string(l[i:], '.')),
+    list_transform(range(1, least(2, len(s)) + 1), lambda i: host || '/' || array_to_string(s[:i], '/'))))) k
+  from parts where host is not null
+),
+logs as (
+  select case when n % 4 = 3 then 'allow' else 'block' end list, key, date '{FIRST_DAY}' + cast(n // 16 % {DAYS} as int) as day,
+         case when n % 3 = 0 then 'remove' else 'add' end as action
+  from (select k as key, cast('0x' || substr(md5(t || ':' || k), 1, 8) as bigint) n
+        from (select distinct k from keys) cross join (values ('a'), ('b'), ('c')) v(t))
+  where n % 5 < 3
+),
+days as (select list, key, day, max(case when action = 'remove' then 1 else 0 end) off from logs group by all),
+changes as (
+  select * from (select *, coalesce(lag(off) over (partition by list, key order by day), 1) was from days) where off <> was
+),
+active as (select list, key, day since, until, off from (select *, lead(day) over (partition by list, key order by day) until from changes) where off = 0),
+hits as (
+  select page_id, list, k from keys join active on k = key and d >= since and (until is null or d < until)
+),
+found as (
+  select page_id, count(*) n_active,
+         max(case when list = 'block' then {{'n': length(k), 'k': k}} end) b, max(case when list = 'allow' then {{'n': length(k), 'k': k}} end) a
+  from hits group by page_id
+)
+select c.page_id, c.host, cast(c.d as varchar) as day, coalesce(n_active, 0) n_active, b.k blocked_by, a.k allowed_by,
+       b is null or coalesce(a.n >= b.n, false) kept
+from caps c left join found f on c.page_id = f.page_id
+""")
+def op7_url_filters(spark, sf_dir):
+    """Every capture against the dated lists. The pages have no dates and no lists come with them, so the day of
+    a capture, and three dated entries for part of the keys that occur, come from hashes of ids and keys."""
+    caps = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.date_add(F.lit(FIRST_DAY).cast("date"), (_number("md5(concat('fetch:', page_id))") % DAYS).cast("int")).alias("day"))
+    keys = caps.select(F.explode(urlfilter.keys_of(F.col("url"))).alias("key")).distinct()
+    logs = keys.select("key", F.explode(F.array(*[F.lit(t) for t in "abc"])).alias("t")).select("key", _number("md5(concat(t, ':', key))").alias("n"))
+    logs = logs.where("n % 5 < 3").select(
+        F.when(F.col("n") % 4 == 3, urlfilter.ALLOW).otherwise(urlfilter.BLOCK).alias("list"), "key",
+        F.date_add(F.lit(FIRST_DAY).cast("date"), (F.floor(F.col("n") / 16) % DAYS).cast("int")).alias("day"),
+        F.when(F.col("n") % 3 == 0, "remove").otherwise("add").alias("action"))
+    found = urlfilter.evaluate(caps, written(urlfilter.intervals(logs), "lists"), "page_id", "url", "day")
+    return found.select(F.col("capture_id").alias("page_id"), "host", F.col("day").cast("string").alias("day"), "n_active", "blocked_by", "allowed_by", "kept")
+
+
+@query(sql=r"""
+with w as (
+  select 'd' kind, doc_id id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), ' '), lambda x: x <> '') w from documents
+  union all
+  select 'b', item_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), ' '), lambda x: x <> '') from benchmark
+),
+runs as (
+  select distinct kind, id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) r from w where len(w) > 0
+),
+items as (select id, count(*) n from runs where kind = 'b' group by id),
+shared as (
+  select d.id doc_id, b.id item_id, count(*) s from runs d join runs b on d.r = b.r where d.kind = 'd' and b.kind = 'b' group by all
+)
+select doc_id, item_id, n item_runs, s shared_runs, s / n containment from shared join items on id = item_id where s >= 0.8 * n - 1e-9
+""")
+def op8_benchmark_decontamination(spark, sf_dir):
+    """Benchmark items found in documents."""
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_simhash_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and its edited text, and how alike they are.
+
+    ``n_near`` counts the other documents whose fingerprints lie within 3 bits, found with the block tables, for
+    the documents whose id is divisible by 100.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = simhash.edits(docs)
+    both = edited.select("_k", "_h", F.explode(F.array(
+        F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("v"))
+    prints = simhash.fingerprints(both.select("_k", "_h", F.col("v.which").alias("which"), F.col("v.body").alias("body")), ["_k", "_h", "which"], "body")
+    paired = prints.groupBy("_k", "_h").agg(
+        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edit"))
+    facts = edited.select("_k", "_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "prev_k", "prev_h")
+    rows = written(facts.join(paired, ["_k", "_h"]), "fingerprints")
+    nexts = rows.select(F.col("prev_k").alias("_k"), F.col("prev_h").alias("_h"), F.col("own").alias("next")).distinct()
+    per_print = rows.groupBy(F.col("own").alias("match")).agg(F.count(F.lit(1)).alias("n"))
+    asked = rows.where("_k % 100 = 0").select(F.col("own").alias("fingerprint"))
+    near = simhash.search(asked, rows.select(F.col("own").alias("fingerprint"))).join(per_print, "match")
+    near = near.groupBy(F.col("fingerprint").alias("own")).agg((F.sum("n") - 1).alias("n_near"))
+    out = rows.join(nexts, ["_k", "_h"]).join(near, "own", "left")
+    return out.select(
+        F.when(F.col("_k") != NO_ID, F.col("_k")).alias("doc_id"), "n_chars", "edited_sha256", simhash.shown(F.col("own")).alias("fingerprint"),
+        simhash.shown(F.col("edit")).alias("edited_fingerprint"), simhash.likeness(F.col("own"), F.col("edit")).alias("near_edited"),
+        simhash.likeness(F.col("own"), F.col("next")).alias("near_next"), F.when(F.col("_k") % 100 == 0, F.col("n_near")).alias("n_near"))

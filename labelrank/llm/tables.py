@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelrank.session import ensure_checkpoint_dir, scratch_path
 
 #: Stands for a null document id where ids are keys; no real id may be so small.
 NO_ID = -(2**63)
+#: Types that ids may have.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def crc_fold(doc_id: str = "doc_id", folds: int = 5) -> Column:

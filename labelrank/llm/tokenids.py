@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelrank.llm.tables import ARROW
 from labelrank.llm.textops import text_array
 from labelrank.llm.wavelet import WaveletMatrix
 
@@ -110,8 +111,7 @@ def write_shards(
     A null text is the empty text (only the end id). Null ids come first; rows that repeat an id are ordered
     by their texts. A document longer than ``shard_tokens`` is a longer shard of its own. No rows: no shard.
     """
-    kind = docs.schema[doc_id].dataType
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
@@ -124,7 +124,7 @@ def write_shards(
             tokens = np.frombuffer(b"".join(pieces), np.uint32)
             row = {
                 "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "before": pa.array([before], pa.int64()),
-                "n_tokens": pa.array([len(tokens)], pa.int64()), "doc_ids": pa.array([ids], pa.list_(arrow_kind)),
+                "n_tokens": pa.array([len(tokens)], pa.int64()), "doc_ids": pa.array([ids], pa.list_(ARROW[kind])),
                 "lengths": pa.array([[len(p) // 4 for p in pieces]], pa.list_(pa.int64())),
                 "matrix": pa.array([WaveletMatrix.build(tokens).to_bytes()], pa.binary()),
             }
@@ -147,7 +147,7 @@ def write_shards(
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     # Spark samples the sort keys to deal the ranges; only they are read for that, texts break ties within a range.
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "t").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(run, SHARD.format(kind=kind.simpleString())).write.option("compression", "uncompressed").parquet(folder)
+    ordered.mapInArrow(run, SHARD.format(kind=kind)).write.option("compression", "uncompressed").parquet(folder)
 
 
 def part_starts(spark: SparkSession, folder: str) -> dict[int, int]:
