@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelrank.llm import contamination, langid, mixing, quality, simhash, tokencount, tokenids, urlfilter
+from labelrank.llm import contamination, langid, mixing, quality, repeats, simhash, tokencount, tokenids, urlfilter
 from labelrank.llm.tables import NO_ID, crc_fold, written
 from labelrank.session import scratch_path
 
@@ -206,3 +206,10 @@ def op9_simhash_fingerprints(spark, sf_dir):
         F.when(F.col("_k") != NO_ID, F.col("_k")).alias("doc_id"), "n_chars", "edited_sha256", simhash.shown(F.col("own")).alias("fingerprint"),
         simhash.shown(F.col("edit")).alias("edited_fingerprint"), simhash.likeness(F.col("own"), F.col("edit")).alias("near_edited"),
         simhash.likeness(F.col("own"), F.col("next")).alias("near_next"), F.when(F.col("_k") % 100 == 0, F.col("n_near")).alias("n_near"))
+
+
+@query()
+def op10_repeated_strings(spark, sf_dir):
+    """What is left of every document without the 200-byte strings that occur more than once."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
