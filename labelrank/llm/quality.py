@@ -203,3 +203,16 @@ def score(stats: DataFrame, forest: Forest, out: str = "score") -> DataFrame:
                 [*batch.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*keep, out])
 
     return rows.mapInArrow(run, f"{fields}{', ' if fields else ''}`{out}` double")
+
+
+def keep(docs: DataFrame, forest: Forest, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = statistics_of(batch.column(batch.schema.get_field_index(text)))
+            parts = [held.value.score(x[i : i + 2048]) >= threshold for i in range(0, len(x), 2048)]
+            yield batch.filter(pa.array(np.concatenate(parts))) if parts else batch
+
+    return docs.mapInArrow(run, docs.schema)

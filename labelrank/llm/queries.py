@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelrank.llm import contamination, langid, mixing, quality, repeats, simhash, tokencount, tokenids, urlfilter
+from labelrank.llm import contamination, langid, mixing, ngramjoin, quality, repeats, simhash, tokencount, tokenids, urlfilter
 from labelrank.llm.tables import NO_ID, crc_fold, written
 from labelrank.session import scratch_path
 
@@ -213,3 +214,9 @@ def op10_repeated_strings(spark, sf_dir):
     """What is left of every document without the 200-byte strings that occur more than once."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op5_ngram_jaccard_join(spark, sf_dir):
+    """Classes of documents linked by 3-word runs with a similarity of 0.9 or more."""
+    return ngramjoin.classes(table(spark, sf_dir, "documents"), width=3, similarity=Fraction(9, 10))
