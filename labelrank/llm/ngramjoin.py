@@ -67,7 +67,7 @@ def _sets(docs: DataFrame, width: int, similarity: Fraction, sampled: float) ->
 
 def _candidates(sets: DataFrame, similarity: Fraction) -> DataFrame:
     """(s, n, run): the runs among the first of a set's order that other sets hold, too."""
-    each = sets.where(F.size("runs") > 0).select("s", "n", "low", F.posexplode("runs").alias("at", "run"))
+    each = sets.where(F.size("runs") > 0).select("s", "n", "low", F.posexplode("runs").alias("at", "run")).repartition("run")
     one = Window.partitionBy("run", "s").orderBy("s")
     all_of = Window.partitionBy("run")
     # copies of a set count once; all this takes a single exchange by run
@@ -84,10 +84,12 @@ def _candidates(sets: DataFrame, similarity: Fraction) -> DataFrame:
     return per_set.select("s", "n", F.explode(taken).alias("p")).select("s", "n", F.col("p.run").alias("run"))
 
 
-def _stars(candidates: DataFrame) -> DataFrame:
-    """(a, b): every set with the smallest set that shares a leading run."""
-    lowest = candidates.groupBy("run").agg(F.min("s").alias("b"), F.max("s").alias("top")).where("b < top")
-    return candidates.join(lowest, "run").where("s <> b").select(F.col("s").alias("a"), "b").distinct()
+def _stars(candidates: DataFrame, step: float) -> DataFrame:
+    """(a, b): every set with the smallest set of its size, or the next size class, that shares a leading run."""
+    cls = F.floor(F.log("n") / step)
+    keyed = candidates.select("s", "run", F.explode(F.array(cls, cls - 1)).alias("cls"))
+    lowest = keyed.groupBy("run", "cls").agg(F.min("s").alias("b"), F.max("s").alias("top")).where("b < top")
+    return keyed.join(lowest, ["run", "cls"]).where("s <> b").select(F.col("s").alias("a"), "b").distinct()
 
 
 def _hash_block(count: Column) -> Column:
@@ -162,14 +164,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _labels(docs: DataFrame, doc_id: str, text: str, width: int, similarity: Fraction, sampled: float | None) -> DataFrame:
     """(_k, _t, n, label) of every row: the node of its class, null for the empty set."""
     similarity = Fraction(similarity)
-    share = float(min(1, 3 * (1 - similarity) / 2)) if sampled is None else sampled
+    share = float(min(1, 1 - similarity + Fraction(1, 5))) if sampled is None else sampled
+    step = math.log(1 / similarity) + 1e-6  # sizes of linked sets lie in the same or neighbouring classes
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("_t", F.hash("text"))
     sets = written(_sets(rows.select("_k", "_t", "text"), width, similarity, share), "sets")
     candidates = written(_candidates(sets, similarity), "candidates")
-    groups = components(_stars(candidates))
-
-    step = math.log(1 / similarity) + 1e-6 if similarity < 1 else 1e-6
+    groups = components(_stars(candidates, step))
     one_of = sets.select("s", "n", "_k", "_t").groupBy("s").agg(F.min(F.struct("_k", "_t")).alias("one"), F.first("n").alias("n"))
     members = groups.select(F.col("node").alias("s"), F.col("root").alias("comp")).join(one_of, "s").select(
         "s", "comp", "n", F.col("one._k").alias("_k"), F.col("one._t").alias("_t"), F.floor(F.log("n") / step).cast("int").alias("cls"))
