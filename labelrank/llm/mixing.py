@@ -97,18 +97,17 @@ def mix(
 def materialize(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of the mixture with all their columns: whole copies, and the first words of partial ones.
 
-    ``mixed`` is ``mix(docs)`` and ``doc_id`` names a document; among rows that repeat an id, each stands for
-    all of its copies' shares, smallest sizes first. A partial copy is its first words, one blank between them.
+    ``mixed`` is ``mix(docs)`` and ``doc_id`` names a document; rows that repeat an id and a size take
+    one share each. A partial copy is its first words, one blank between them.
     """
-    w = Window.partitionBy("_k").orderBy("_s")
-    shares = mixed.where("taken > 0").select(
-        F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_k"), F.col("size").alias("_s"), F.col("taken").alias("_taken"))
-    shares = shares.withColumn("_n", F.row_number().over(w))
-    own = docs.withColumn("_k", F.coalesce(F.col(doc_id), F.lit(NO_ID))).withColumn("_s", words_of(text)).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_k").orderBy("_s")))
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    shares = mixed.groupBy(key.alias("_k"), F.col("size").alias("_s")).agg(F.sort_array(F.collect_list("taken")).alias("_shares"))
+    own = docs.withColumn("_k", F.coalesce(F.col(doc_id), F.lit(NO_ID))).withColumn("_s", words_of(text)).join(shares, ["_k", "_s"])
+    copy = Window.partitionBy("_k", "_s").orderBy("_k")
+    own = own.withColumn("_taken", F.element_at("_shares", F.row_number().over(copy))).where("_taken > 0")
     copies = F.floor(F.col("_taken") / F.col("_s")).cast("int")
     part = (F.col("_taken") % F.col("_s")).cast("int")
     lead = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
     pieces = F.concat(F.array_repeat(F.lit(False), copies), F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    joined = own.join(shares, ["_k", "_s", "_n"]).withColumn("_cut", F.explode(pieces))
+    joined = own.withColumn("_cut", F.explode(pieces))
     return joined.withColumn(text, F.when(F.col("_cut"), lead).otherwise(F.col(text))).select(*docs.columns)

@@ -73,23 +73,23 @@ def _candidates(sets: DataFrame, similarity: Fraction) -> DataFrame:
     # copies of a set count once; all this takes a single exchange by run
     counted = each.withColumn("copy", F.row_number().over(one)).withColumn("held", F.sum(F.when(F.col("copy") == 1, 1)).over(all_of))
     shared = counted.where("copy = 1 and held > 1")
-    place = F.struct((F.col("at") >= F.col("low")).alias("late"), F.when(F.col("at") < F.col("low"), F.col("held")).otherwise(0).alias("held"), F.col("at"), F.col("run"))
+    # a run behind the sampled part is only listed if it is needed, and stands as held by none
+    place = F.struct(F.when(F.col("at") < F.col("low"), F.col("held")).otherwise(0).cast("int").alias("held"), "run")
     per_set = shared.groupBy("s").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.sort_array(F.collect_list(place)).alias("places"))
     num, den = similarity.numerator, similarity.denominator
     first = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)) + 1
-    early = F.size(F.filter("places", lambda p: ~p.late))
-    # unshared runs of the sampled part come first; runs behind it were only listed if they are needed
+    late = F.size(F.filter("places", lambda p: p.held == 0))
+    early = F.size("places") - late
+    # unshared runs of the sampled part come first
     room = F.greatest(F.lit(0), F.least(first, F.col("low")) - (F.col("low") - early))
-    taken = F.concat(F.slice("places", F.lit(1), F.least(room, early).cast("int")), F.filter("places", lambda p: p.late))
+    taken = F.slice("places", F.lit(1), (late + F.least(room, early)).cast("int"))
     return per_set.select("s", "n", F.explode(taken).alias("p")).select("s", "n", F.col("p.run").alias("run"))
 
 
-def _stars(candidates: DataFrame, step: float) -> DataFrame:
-    """(a, b): every set with the smallest set of its size, or the next size class, that shares a leading run."""
-    cls = F.floor(F.log("n") / step)
-    keyed = candidates.select("s", "run", F.explode(F.array(cls, cls - 1)).alias("cls"))
-    lowest = keyed.groupBy("run", "cls").agg(F.min("s").alias("b"), F.max("s").alias("top")).where("b < top")
-    return keyed.join(lowest, ["run", "cls"]).where("s <> b").select(F.col("s").alias("a"), "b").distinct()
+def _stars(candidates: DataFrame) -> DataFrame:
+    """(a, b): every set with the smallest set that shares a leading run."""
+    lowest = candidates.groupBy("run").agg(F.min("s").alias("b"), F.max("s").alias("top")).where("b < top")
+    return candidates.join(lowest, "run").where("s <> b").select(F.col("s").alias("a"), "b").distinct()
 
 
 def _hash_block(count: Column) -> Column:
@@ -111,12 +111,12 @@ def _tiles(members: DataFrame, pivots_only: bool) -> DataFrame:
         pairs = pairs.where("block = 0 or block2 = 0")
     me = F.struct("cls", F.coalesce("settled", F.lit(NO_ID)).alias("settled"), "block")
     other = F.struct(F.col("cls2").alias("cls"), F.coalesce("settled2", F.lit(NO_ID)).alias("settled"), F.col("block2").alias("block"))
-    return pairs.select(
-        F.struct("comp", F.least(me, other).alias("x"), F.greatest(me, other).alias("y")).alias("tile"), (me > other).cast("int").alias("side"), "s")
+    tile = F.to_json(F.struct("comp", F.least(me, other).alias("x"), F.greatest(me, other).alias("y")))
+    return pairs.select(tile.alias("tile"), (me > other).cast("int").alias("side"), "s")
 
 
-def _links(tiles: DataFrame, full: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b): links found by the prefix tree within each tile."""
+def _links(rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): links found by the prefix tree within each tile of (tile, side, s, runs)."""
     num, den = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,25 +140,23 @@ def _links(tiles: DataFrame, full: DataFrame, similarity: Fraction) -> DataFrame
         if len(ids) > 1:
             yield done()
 
-    # 128 bits tell the tiles apart
-    key = F.concat_ws("-", F.xxhash64("tile"), F.xxhash64(F.lit(1), "tile"))
-    rows = tiles.select(key.alias("tile"), "side", "s").join(full, "s").select("tile", "side", "s", "runs")
-    return rows.repartition("tile").sortWithinPartitions("tile", "side", "s").mapInArrow(run, "a bigint, b bigint")
+    dealt = rows.select("tile", "side", "s", "runs").repartition("tile").sortWithinPartitions("tile", "side", "s")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(s, n, runs): the whole sets of ``wanted`` (s, _k, _t), from their texts."""
+def _full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(s, comp, large, runs): the whole sets of ``members``, from the texts that stand for them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, starts in slices(text_array(batch, "text")):
                 runs = shingles(data, starts, width)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum([len(r) for r in runs])]), pa.int32()), pa.array(np.concatenate(runs).view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["s", "runs"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), lists], ["s", "comp", "large", "runs"])
 
-    one = docs.join(wanted, ["_k", "_t"]).select("s", "text")
-    found = one.mapInArrow(run, "s bigint, runs array<bigint>")
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("s").orderBy("s"))).where("_n = 1").drop("_n")
+    copies = Window.partitionBy("_k", "_t").orderBy("_k")
+    one = docs.join(members, ["_k", "_t"]).withColumn("_n", F.row_number().over(copies)).where("_n = 1")
+    return one.select("s", "comp", "large", "text").mapInArrow(run, "s bigint, comp bigint, large boolean, runs array<bigint>")
 
 
 def _labels(docs: DataFrame, doc_id: str, text: str, width: int, similarity: Fraction, sampled: float | None) -> DataFrame:
@@ -170,26 +168,25 @@ def _labels(docs: DataFrame, doc_id: str, text: str, width: int, similarity: Fra
     rows = rows.withColumn("_t", F.hash("text"))
     sets = written(_sets(rows.select("_k", "_t", "text"), width, similarity, share), "sets")
     candidates = written(_candidates(sets, similarity), "candidates")
-    groups = components(_stars(candidates, step))
+    groups = components(_stars(candidates))
     one_of = sets.select("s", "n", "_k", "_t").groupBy("s").agg(F.min(F.struct("_k", "_t")).alias("one"), F.first("n").alias("n"))
     members = groups.select(F.col("node").alias("s"), F.col("root").alias("comp")).join(one_of, "s").select(
         "s", "comp", "n", F.col("one._k").alias("_k"), F.col("one._t").alias("_t"), F.floor(F.log("n") / step).cast("int").alias("cls"))
-    members = written(members, "members")
-    full = written(_full_sets(rows, members.select("s", "_k", "_t"), width), "runs")
-
-    size = members.groupBy("comp").agg(F.sum("n").alias("all"))
-    large = members.join(size.where(F.col("all") > BLOCK).select("comp"), "comp", "left_semi").withColumn("settled", F.lit(None).cast("bigint"))
-    whole = members.join(size.where(F.col("all") <= BLOCK).select("comp"), "comp", "left_semi").select(
-        F.struct("comp", *[F.struct(F.lit(0).alias("cls"), F.lit(NO_ID).alias("settled"), F.lit(0).alias("block")).alias(c) for c in "xy"]).alias("tile"),
-        F.lit(0).alias("side"), "s")
-    links = written(_links(whole.union(_tiles(large, True)), full, similarity), "links")
+    size = members.groupBy("comp").agg((F.sum("n") > BLOCK).alias("large"))
+    members = written(members.join(size, "comp"), "members")
+    full = written(_full_sets(rows, members.select("s", "comp", "large", "_k", "_t"), width), "runs")
+
+    whole = full.where(~F.col("large")).select(F.col("comp").cast("string").alias("tile"), F.lit(0).alias("side"), "s", "runs")
+    large = members.where("large").select("s", "n", "comp", "cls", F.lit(None).cast("bigint").alias("settled"))
+    many = full.where("large").select("s", "runs")
+    links = written(_links(whole, similarity).union(_links(_tiles(large, True).join(many, "s"), similarity)), "links")
     if large.limit(1).count():
         known = components(links)
         labelled = large.drop("settled").join(known, large.s == known.node, "left").withColumn("label", F.coalesce("root", "s"))
         counts = labelled.groupBy("comp", "cls", "label").agg(F.count(F.lit(1)).alias("c"))
         most = counts.groupBy("comp", "cls").agg(F.max(F.struct("c", "label")).alias("m")).select("comp", "cls", F.col("m.label").alias("main"))
         second = labelled.join(most, ["comp", "cls"]).select("s", "n", "comp", "cls", F.when(F.col("label") == F.col("main"), F.col("label")).alias("settled"))
-        links = links.union(written(_links(_tiles(written(second, "second"), False), full, similarity), "links"))
+        links = links.union(written(_links(_tiles(written(second, "second"), False).join(many, "s"), similarity), "links"))
     found = components(links)
     joined = sets.select("_k", "_t", "s", "n").join(found, sets.s == found.node, "left")
     return joined.select("_k", "_t", "n", F.coalesce("root", "s").alias("label"))

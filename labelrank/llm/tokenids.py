@@ -22,7 +22,7 @@ from labelrank.llm.textops import text_array
 from labelrank.llm.wavelet import WaveletMatrix
 
 #: Chunks of a text that a worker keeps encoded before it starts afresh.
-CACHE = 200_000
+CACHE = 600_000
 _workers: dict[str, _Encoder] = {}
 
 
