@@ -23,9 +23,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from the labelled ones in four of five folds."""
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
-    known = docs.where(crc_fold() != 0).select("doc_id", "text").join(labels.where("label is not null"), F.col("doc_id") == F.col("_id"))
-    stats = quality.statistics(known.select("doc_id", "text", "label"))
-    return quality.keep(docs, quality.fit(stats), threshold=0.3)
+    stats = quality.statistics(docs.where(crc_fold() != 0).select("doc_id", "text"))  # only these narrow rows are joined
+    known = stats.join(labels.where("label is not null"), F.col("doc_id") == F.col("_id"))
+    return quality.keep(docs, quality.fit(known.select("doc_id", "statistics", "label")), threshold=0.3)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
