@@ -239,8 +239,11 @@ class NearestNeighborsModel(Model, _NeighborParams, SavedModel):
         )
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        key = self._get("keyCol")
+        absent = F.raise_error(F.lit(f"null in the row key {key}")).cast(dataset.schema[key].dataType)
+        dataset = dataset.withColumn(key, F.coalesce(F.col(key), absent))
         won = self.elected(dataset).select(
             F.col("query").alias("_query"), F.col("prediction").alias(self.getPredictionCol()),
             F.col("score").alias(self._get("scoreCol")),
         )
-        return dataset.join(won, F.col(self._get("keyCol")) == F.col("_query")).drop("_query")
+        return dataset.join(won, F.col(key) == F.col("_query")).drop("_query")

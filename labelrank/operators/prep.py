@@ -221,9 +221,12 @@ def add_noise(df: DataFrame, cols: Sequence[str], key: str, seed: int = 42, widt
 
 
 def concat_columns(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Put two tables side by side, row by row; rows are matched by their key."""
+    """Put two tables side by side, row by row; rows are matched by their key.
+
+    A row that the other table lacks stays, with nulls on that side.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return left.join(right, keys, "inner")
+    return left.join(right, keys, "full")
 
 
 # --- feature selection ----------------------------------------------------------------------------

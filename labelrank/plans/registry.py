@@ -85,7 +85,7 @@ def tuned_models(
         return n if rounds is None else min(n, rounds)
 
     # Grids and layer sizes. Depth 30 is Spark's limit and stands for an unlimited one.
-    forest = RandomForestClassifier(numTrees=upto(100), maxDepth=30 if rounds is None else 10, seed=SEED)
+    forest = RandomForestClassifier(numTrees=upto(100), maxDepth=30, seed=SEED)
     boost_a = GBTClassifier(maxDepth=6, maxIter=upto(100), stepSize=0.3, seed=SEED)
     boost_b = GBTClassifier(maxDepth=6, maxIter=upto(1000), stepSize=0.03, seed=SEED + 1)
     knn = NearestNeighbors(k=5, p=2.0, weights="uniform", keyCol=key)

@@ -22,15 +22,21 @@ def add_score(scored: DataFrame, out: str = "score") -> DataFrame:
 
 
 def score_all(models: dict[str, Model], df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """(ids..., model, score, prediction): every row scored by every model in one pass over the rows."""
-    out, cells = df, []
+    """(ids..., model, score, prediction): every row scored by every model in one pass over the rows.
+
+    Columns of ``df`` that have the name of a model's output are set aside, so that they are not taken for it.
+    """
+    aside = {c: f"_own_{c}" for c in ("score", "prediction", "probability", "rawPrediction") if c in df.columns}
+    out, cells = df.withColumnsRenamed(aside), []
     for i, (name, model) in enumerate(models.items()):
         scored = add_score(model.transform(out))
         out = scored.select(
             *out.columns, F.col("score").cast("double").alias(f"_s{i}"), F.col("prediction").cast("int").alias(f"_p{i}"))
         cells.append(F.struct(
             F.lit(name).alias("model"), F.col(f"_s{i}").alias("score"), F.col(f"_p{i}").alias("prediction")))
-    return out.select(*ids, F.explode(F.array(*cells)).alias("c")).select(*ids, "c.model", "c.score", "c.prediction")
+    kept = [F.col(aside.get(c, c)).alias(c) for c in ids]
+    return out.select(F.struct(*kept).alias("i"), F.explode(F.array(*cells)).alias("c")).select(
+        *[F.col(f"i.{c}") for c in ids], "c.model", "c.score", "c.prediction")
 
 
 def score_external(

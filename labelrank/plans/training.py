@@ -10,14 +10,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from labelrank.functions.columns import above, integer_label
 from labelrank.operators import evaluate
 from labelrank.operators.split import holdout, kfold, stratified_holdout, stratified_kfold
-from labelrank.session import ensure_checkpoint_dir
+from labelrank.session import discard, ensure_checkpoint_dir, staged
 from labelrank.sources.tables import save_model, write_reports, write_table
 
 _COUNTS = "model string, fold int, label int, prediction int, n bigint"
@@ -69,7 +68,7 @@ def fit_and_count(estimator: Estimator, train: DataFrame, test: DataFrame):
 def compare(
     table: DataFrame, estimators: dict[str, Estimator], key: str = "row_key", label: str = "label",
     cross_validate: bool = False, k: int = 5, stratify: bool = False, test_size: float = 0.2, seed: int = 42,
-    zero_division: float = 1.0, save_to: str | None = None, final_fit: bool = False,
+    zero_division: float = 0.0, save_to: str | None = None, final_fit: bool = False,
 ) -> Comparison:
     """Compare models on (key, label, features): hold-out, or k folds with ``cross_validate``.
 
@@ -92,7 +91,7 @@ def compare(
             if stratify else holdout(labelled, key, test_size, seed, "_part")
         )
         parts = [(None, F.col("_part"))]
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    split = staged(split, "split")  # stored before the first fit, so that no model's time contains the split
     counts, times, models = [], [], {}
     try:
         for name, estimator in estimators.items():
@@ -107,7 +106,7 @@ def compare(
             if save_to:
                 save_model(PipelineModel([model]), save_to, name)
     finally:
-        split.unpersist()
+        discard(split)
     confusion = spark.createDataFrame(counts, _COUNTS)
     by = ["model", "fold"]
     scores = evaluate.metrics_from_confusion(confusion, by).withColumnsRenamed({"model": "_m", "fold": "_f"})

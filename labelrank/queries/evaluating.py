@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from labelrank.functions import key_hash
 from labelrank.operators import evaluate
-from labelrank.operators.prep import concat_columns
 from labelrank.queries.base import query, sql_hash, table
 
 # Predictions by rule on the length of a text, one rule per stand-in model.
@@ -26,7 +25,7 @@ def predictions(spark, sf_dir):
     rules = F.array(
         *[F.struct(F.lit(m).alias("model"), (F.col("n_chars") > t).cast("int").alias("prediction")) for m, t in RULES.items()]
     )
-    joined = concat_columns(docs, table(spark, sf_dir, "labels"), "doc_id")
+    joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     return joined.select(
         "doc_id", F.col("quality").alias("label"), F.explode(rules).alias("r"),
         F.pmod(key_hash(42, "doc_id"), F.lit(5)).cast("int").alias("fold"),
@@ -129,7 +128,7 @@ def candidates(spark, sf_dir):
     """Per source of documents: the accuracy of each limit in a grid of limits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     grid = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(t).alias("lim")) for i, t in enumerate(_LIMITS)])
-    rows = concat_columns(docs, table(spark, sf_dir, "labels"), "doc_id").select("*", F.explode(grid).alias("g"))
+    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("*", F.explode(grid).alias("g"))
     right = (F.col("quality") == (F.col("n_chars") > F.col("g.lim")).cast("int")).cast("double")
     return (
         rows.groupBy(F.col("source").alias("model"), F.col("g.candidate").alias("candidate"), F.col("g.lim").alias("lim"))

@@ -120,7 +120,7 @@ def features_float32(spark, sf_dir):
     return to_float32(table(spark, sf_dir, "lineitem").select(*ITEM_KEYS, *ITEM_NUMBERS), ITEM_NUMBERS)
 
 
-@query("select d.doc_id, lang, source, n_chars, quality, toxic from documents d join labels l on d.doc_id = l.doc_id")
+@query("select coalesce(d.doc_id, l.doc_id) doc_id, lang, source, n_chars, quality, toxic from documents d full join labels l on d.doc_id = l.doc_id")
 def concat_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return prep.concat_columns(docs, table(spark, sf_dir, "labels"), "doc_id")

@@ -80,6 +80,14 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete the files behind a table from ``staged``, once nothing reads it any more."""
+    spark = stored.sparkSession
+    for folder in {f.rpartition("/")[0] for f in stored.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A stored table that has fewer parts than there are cores, spread over all cores.
 

@@ -6,6 +6,7 @@ Pages are rows, so all seasons and all result pages of a season come from one jo
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 STAT_COLUMNS = ("PLAYER", "GP", "PTS", "FGA", "FTA", "BLK", "STL", "OREB", "AST", "TOV")
 SEASON_QUERY = "?Season=%s&SeasonType=Playoffs"
 
-# Named character references that occur in statistics tables.
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+# Elements that may be left open: what else ends them, besides their own end tag.
+_NEXT = {"tr": "tr", "td": "t[dhr]", "th": "t[dhr]", "table": "table"}
 
 
 def season_key(year: Column | str) -> Column:
@@ -43,17 +44,27 @@ def url_param(url: Column | str, name: str) -> Column:
 
 
 def _elements(text: Column, tag: str) -> Column:
-    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
+    """Contents of the elements; an element ends at its end tag, or where the next one or the table's end shows it."""
+    outer = "" if tag == "table" else r"|</(?:table|thead|tbody|tfoot)\s*>" if tag == "tr" else r"|</(?:table|thead|tbody|tfoot|tr)\s*>"
+    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?=</{tag}\s*>|<{_NEXT[tag]}(?:\s[^>]*)?>{outer}|\z)"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
 def _numbered(text: Column, pattern: str, prefix: str, code: Callable[[Column], Column]) -> Column:
-    """Replace numbered character references; ``code`` turns the digits into a hex number."""
+    """Replace numbered character references; ``code`` turns the digits into a hex number.
+
+    Numbers that stand for no character give the replacement character.
+    """
+    def known(n: Column) -> Column:
+        value = F.conv(code(n), 16, 10).cast("bigint")
+        bad = (value == 0) | value.between(0xD800, 0xDFFF) | (value > 0x10FFFF)
+        return F.when(bad, "FFFD").otherwise(code(n))
+
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
     return F.aggregate(
         found, text,
         lambda acc, n: F.replace(
-            acc, F.concat(F.lit(prefix), n, F.lit(";")), F.decode(F.unhex(F.lpad(code(n), 8, "0")), "UTF-32")),
+            acc, F.concat(F.lit(prefix), n, F.lit(";")), F.decode(F.unhex(F.lpad(known(n), 8, "0")), "UTF-32")),
     )
 
 
@@ -62,23 +73,29 @@ def _decoded(text: Column) -> Column:
     out = F.regexp_replace(text, "&#(0*38|[xX]0*26);", "&amp;")
     out = _numbered(out, "&#([0-9]{1,7});", "&#", lambda n: F.hex(n.cast("bigint")))
     out = _numbered(out, "&#x([0-9a-fA-F]{1,6});", "&#x", lambda n: n)
-    for entity, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    names = F.array_distinct(F.regexp_extract_all(out, F.lit("&([A-Za-z][A-Za-z0-9]*;)"), F.lit(1)))
+    table = {n: c for n, c in html5.items() if n.endswith(";") and n != "amp;"}
+    chars = F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
+    out = F.aggregate(
+        names, out, lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n), F.coalesce(F.try_element_at(chars, n), F.concat(F.lit("&"), n))))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
 def _text(cell: Column) -> Column:
     """Visible text of a cell: inner tags and line breaks go, surrounding space goes."""
-    plain = F.regexp_replace(F.regexp_replace(cell, r"(?s)<[^>]*>", ""), r"\s+", " ")
+    broken = F.regexp_replace(cell, r"(?i)<br\s*/?>", " ")
+    plain = F.regexp_replace(F.regexp_replace(broken, r"(?s)<[^>]*>", ""), r"\s+", " ")
     return F.trim(F.replace(_decoded(plain), F.lit("\u00a0"), F.lit(" ")))
 
 
-def table_rows(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def table_rows(pages: DataFrame, url: str = "url", html: str = "html", table: int = 1) -> DataFrame:
     """(url, header, row, cells): the data rows of each page's table, in order from 1.
 
-    The first table row holds the header cells and is not a data row.
+    ``table`` counts the tables of a page from 1; a page that has no table tag at all counts as one table. The
+    first table row holds the header cells and is not a data row.
     """
-    rows = _elements(F.col(html), "tr")
+    tables = _elements(F.col(html), "table")
+    rows = _elements(F.when(F.size(tables) == 0, F.col(html)).otherwise(F.get(tables, F.lit(table - 1))), "tr")
     return (
         pages.select(F.col(url).alias("url"), rows.alias("rows"))
         .where(F.size("rows") > 1)
@@ -111,10 +128,10 @@ def season_stats(
 ) -> DataFrame:
     """(season, statistics...) of all pages; season is the start year in the page address.
 
-    Statistics become double, with null for text that is not a number.
+    Statistics become double, without commas between digits, and null for text that is not a number.
     """
     picked = pick_columns(table_rows(pages, url, html), names)
     typed = [
-        F.col(n.lower()) if n in text else F.col(n.lower()).try_cast("double").alias(n.lower()) for n in names
+        F.col(n.lower()) if n in text else F.regexp_replace(F.col(n.lower()), r"(?<=\d),(?=\d{3})", "").try_cast("double").alias(n.lower()) for n in names
     ]
     return picked.select(season_start(url_param("url", "Season")).alias("season"), *typed)

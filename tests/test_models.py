@@ -145,3 +145,16 @@ def test_grid_search_and_refit(table):
     assert str(best["LogisticRegression"].getRegParam()) == chosen.params["regParam"]
     again = tuning.refit_best(table, found, searches, k=2)
     assert again.metrics.count() == 4
+
+
+def test_a_score_column_is_not_taken_for_the_models(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from labelrank.plans.scoring import score_all
+
+    rows = spark.createDataFrame([(i, float(i % 2), [float(i % 2), 1.0], 7.0) for i in range(20)], "row_key bigint, label double, f array<double>, score double")
+    rows = rows.withColumn("features", array_to_vector(F.col("f")))
+    got = score_all({"lr": LogisticRegression().fit(rows)}, rows, ["row_key"])
+    assert got.where("score = 7.0").count() == 0 and got.count() == 20

@@ -112,3 +112,16 @@ def test_bayes_with_one_class(spark):
     assert [r.score for r in GaussianNaiveBayes().fit(df).transform(df).collect()] == [0.0, 0.0]
     with pytest.raises(ValueError):
         GaussianNaiveBayes().fit(df.where(F.lit(False)))
+
+
+def test_null_key_raises(spark):
+    import pytest
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from labelrank.operators.neighbors import NearestNeighbors
+
+    rows = spark.createDataFrame([(i, float(i % 2), [float(i)]) for i in range(6)], "row_key bigint, label double, f array<double>").withColumn("features", array_to_vector(F.col("f")))
+    model = NearestNeighbors(k=1, p=2.0, weights="uniform", keyCol="row_key").fit(rows)
+    with pytest.raises(Exception, match="null in the row key"):
+        model.transform(rows.withColumn("row_key", F.when(F.col("row_key") > 0, F.col("row_key")))).collect()

@@ -87,3 +87,13 @@ def test_html_other_header_order_and_absent_header(spark):
 def test_html_number_that_is_not_one(spark):
     html = "<table><tr><th>PLAYER</th><th>GP</th></tr><tr><td>A</td><td>-</td></tr></table>"
     assert web.season_stats(pages(spark, html), ["PLAYER", "GP"]).first().gp is None
+
+
+def test_odd_pages(spark):
+    html = (
+        "<table><tr><th>PLAYER<th>PTS<tr><td>Don&ccaron;i&cacute;<td>1,234</tr><tr><td>A<br>B &#9999999; &#xD800;<td>7</table>"
+        "<table><tr><th>PLAYER</th></tr><tr><td>T</td></tr></table>"
+    )
+    rows = [tuple(r) for r in web.season_stats(pages(spark, html), ["PLAYER", "PTS"]).select("player", "pts").collect()]
+    assert rows == [("Dončić", 1234.0), ("A B � �", 7.0)]
+    assert [r.cells for r in web.table_rows(pages(spark, html), table=2).collect()] == [["T"]]
