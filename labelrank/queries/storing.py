@@ -70,12 +70,27 @@ def html_table_rows(spark, sf_dir):
     return web.season_stats(pages, ["PLAYER", "GP", "PTS", "TOV"])
 
 
-@query("select page_id from pages where html ilike '%<tr%'")
+@query("select page_id from pages where not coalesce(html ilike '%<tr%', false)")
 def html_pages_without_table(spark, sf_dir):
-    """The given pages have no table, so they give no rows."""
+    """Pages that give no table row."""
     rows = web.table_rows(table(spark, sf_dir, "pages"))
     found = rows.select("url").distinct()
-    return table(spark, sf_dir, "pages").join(found, "url", "left_semi").select("page_id")
+    return table(spark, sf_dir, "pages").join(found, "url", "left_anti").select("page_id")
+
+
+@query("""select 1996 + s_nationkey season, s_name || 'č �' player, s_suppkey * 1000.0::double gp, s_acctbal pts from supplier""")
+def html_odd_rows(spark, sf_dir):
+    """Two tables on a page, omitted end tags, line breaks, named and impossible references, grouped digits."""
+    row = F.concat(
+        F.lit("<tr><td>"), F.col("s_name"), F.lit("&ccaron;<br>&#9999999;<td>"), F.format_number(F.col("s_suppkey") * 1000, 0),
+        F.lit("<td>"), F.col("s_acctbal").cast("string"))
+    page = F.floor(F.col("s_suppkey") / 50).cast("bigint")
+    url = F.concat(web.season_url(BASE, web.season_key(F.lit(1996) + F.col("s_nationkey"))), F.lit("&page="), F.col("page").cast("string"))
+    pages = table(spark, sf_dir, "supplier").groupBy("s_nationkey", page.alias("page")).agg(
+        F.concat_ws("\n", F.array_sort(F.collect_list(row))).alias("rows")
+    ).select(url.alias("url"), F.concat(
+        F.lit("<table><tr><th>PLAYER<th>GP<th>PTS"), F.col("rows"), F.lit("</table><table><tr><th>PTS</th></tr><tr><td>9</td></tr></table>")).alias("html"))
+    return web.season_stats(pages, ["PLAYER", "GP", "PTS"])
 
 
 _CUSTOMER = """select c_custkey, c_name, c_nationkey, c_acctbal,
@@ -100,6 +115,21 @@ def csv_inferred(spark, sf_dir):
     return tables.read_csv(spark, _customer_csv(spark, sf_dir))
 
 
+@query("select cast(cid as int) as position, name as column_name from pragma_table_info('customer')")
+def header_only(spark, sf_dir):
+    """Names in the header of a CSV file, whose rows are not read."""
+    names = tables.csv_columns(spark, _customer_csv(spark, sf_dir))
+    return spark.createDataFrame(list(enumerate(names)), "position int, column_name string")
+
+
+@query("select doc_id, nullif(text, '') as text from documents")
+def csv_text_roundtrip(spark, sf_dir):
+    """Whole texts, line breaks and quotes included."""
+    path = scratch_path(spark, "documents-csv")
+    tables.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return tables.read_csv(spark, path, "doc_id bigint, text string", tokens=("",))
+
+
 @query(BEST_PARAMS)
 def json_params(spark, sf_dir):
     path = scratch_path(spark, "best-params")

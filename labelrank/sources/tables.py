@@ -10,11 +10,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from labelrank.functions.columns import NULL_TOKENS, null_tokens
 
 
-def _raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns as text, with quotes handled the usual CSV way."""
-    names = csv_columns(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+def _same_header(spark: SparkSession, path: str | list[str]) -> list[str | list[str]]:
+    """The paths, in groups of files that have one header line.
+
+    Only the distinct headers come to the driver, and the names of the files if there are several headers. A
+    single file is a group without being read.
+    """
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) <= 1:
+        return [path]
+    starts = lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"))
+    headers = starts.groupBy("file").agg(F.min("line")["value"].alias("header"))
+    if headers.select("header").distinct().limit(2).count() <= 1:
+        return [path]
+    return [sorted(r["files"]) for r in headers.groupBy("header").agg(F.collect_list("file").alias("files")).sort("header").collect()]
+
+
+def _raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    """All columns as text, with quotes handled the usual CSV way; columns of all files matched by name."""
+    parts = []
+    for group in _same_header(spark, path):
+        names = csv_columns(spark, group)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        parts.append(spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(group))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def csv_columns(spark: SparkSession, path: str | list[str]) -> list[str]:
@@ -63,14 +86,16 @@ def infer_types(df: DataFrame) -> T.StructType:
 
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-    tokens: Sequence[str] = NULL_TOKENS, strict: bool = True,
+    tokens: Sequence[str] = NULL_TOKENS, strict: bool = True, multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header. Texts that stand for a missing value become null before types are applied.
 
     With a schema the types are given, and text that does not fit raises (``strict=False``: becomes
-    null). Without one they are inferred by an extra pass. Columns are matched by name.
+    null). Without one they are inferred by an extra pass. Columns are matched by name, also over files that
+    order them differently; a column that some file lacks raises. Cells may hold line breaks; a file is then
+    read by one task, so ``multi_line=False`` is for large files without any, which Spark may split.
     """
-    raw = null_tokens(_raw_csv(spark, path), tokens)
+    raw = null_tokens(_raw_csv(spark, path, multi_line), tokens)
     if schema is None:
         schema = infer_types(raw)
     elif isinstance(schema, str):
@@ -79,7 +104,9 @@ def read_csv(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; cells keep their line breaks and outer blanks."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").option("header", True).option("escape", '"').options(**keep).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:

@@ -32,6 +32,23 @@ def test_csv_roundtrip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_csv_line_breaks_and_blanks(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a\nb, \"c\"\r\nd "), (2, "x")], "id bigint, t string")
+    tables.write_csv(df, str(tmp_path / "out"))
+    back = tables.read_csv(spark, str(tmp_path / "out"), df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_csv_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n20,10\n")
+    (tmp_path / "3.csv").write_text("a,b\n3,4\n")
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path)).collect())) == [(1, 2), (3, 4), (10, 20)]
+    (tmp_path / "4.csv").write_text("a,c\n5,6\n")
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN|CANNOT_RESOLVE|cannot resolve|Cannot resolve"):
+        tables.read_csv(spark, str(tmp_path)).collect()
+
+
 def test_partitioned_table_prunes(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 5 + 2000).alias("season"), "id")
     tables.write_table(df, str(tmp_path / "t"), ["season"])
