@@ -26,7 +26,7 @@ def sorted_positions(values: DataFrame, col: str, out: str = "code") -> DataFram
         ordered = sorted(r[col] for r in short)
         return spark.createDataFrame(
             [(v, i) for i, v in enumerate(ordered)],
-            schema=f"{col} {values.schema[col].dataType.simpleString()}, {out} int",
+            schema=f"{col} {values.schema[col].dataType.simpleString()}, {out} bigint",
         )
     ensure_checkpoint_dir(spark)
     placed = values.select(col).sort(col).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
@@ -70,7 +70,7 @@ def rank_in_group(
     hashed_df = df.withColumn("_hash", hashed)
     if bits == 0:
         w = Window.partitionBy(group).orderBy(*order)
-        return hashed_df.withColumn(out, F.row_number().over(w)).drop("_hash")
+        return hashed_df.withColumn(out, F.row_number().over(w).cast("bigint")).drop("_hash")
     bucketed = hashed_df.withColumn("_bucket", hash_bucket(F.col("_hash"), bits))
     starts = small_side(
         bucket_starts(bucketed, group, "_bucket").select(

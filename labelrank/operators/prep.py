@@ -78,7 +78,7 @@ class Codes:
         for i, (c, table) in enumerate(self.tables.items()):
             side = small_side(table.select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}")))
             out = out.join(side, F.col(c) == F.col(f"_v{i}"), "left")
-            new[c] = F.coalesce(F.col(f"_c{i}"), F.lit(-1))
+            new[c] = F.coalesce(F.col(f"_c{i}"), F.lit(-1).cast("bigint"))
         return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
@@ -110,7 +110,7 @@ def fit_texts(
         seen[r["column"]][r["value"]] = r["n"]
     modes = {c: min(vs, key=lambda v: (-vs[v], v), default=None) for c, vs in seen.items()}
     tables = {
-        c: df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(vs))], "value string, code int")
+        c: df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(vs))], "value string, code bigint")
         for c, vs in seen.items()
     }
     return modes, Codes(tables, {c: len(vs) for c, vs in seen.items()})

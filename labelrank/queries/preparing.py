@@ -49,7 +49,7 @@ def column_statistics(spark, sf_dir):
 
 
 def _codes(col: str) -> str:
-    return f"cast(case when {col} is null then -1 else dense_rank() over (order by {col} nulls last) - 1 end as int) {col}"
+    return f"cast(case when {col} is null then -1 else dense_rank() over (order by {col} nulls last) - 1 end as bigint) {col}"
 
 
 @query(f"with {PLAYER_SEASON} select c_custkey, season, {_codes('tm')}, {_codes('pos')} from ps")

@@ -39,6 +39,7 @@ def test_fit_on_uses_only_those_rows(spark):
 def test_codes_order_missing_and_unknown(spark):
     df = spark.createDataFrame([("b",), ("Z",), ("é",), (None,), ("a",), ("a",)], "t string")
     codes = prep.fit_codes(df, ["t"])
+    assert dict(codes.apply(df).dtypes)["t"] == "bigint"
     assert {r.t0: r.t for r in codes.apply(df.withColumn("t0", F.col("t"))).collect()} == {"Z": 0, "a": 1, "b": 2, "é": 3, None: -1}
     other = spark.createDataFrame([("x",)], "t string")
     assert column(codes.apply(other), "t") == [-1]
@@ -53,6 +54,7 @@ def test_codes_of_a_long_dictionary(spark, monkeypatch, parts):
     monkeypatch.setattr(prep, "small_side", lambda d: d)
     modes, codes = prep.fit_texts(df, ["t"])
     assert modes == {"t": "v0"}
+    assert dict(codes.apply(df).dtypes)["t"] == "bigint"
     got = {r.u: r.t for r in codes.apply(df).collect()}
     assert got == {v: i for i, v in enumerate(sorted(f"v{i}" for i in range(500)))}
 
