@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from labelrank.functions.hashing import key_hash
 from labelrank.operators.saving import SavedModel
-from labelrank.session import small_rows
+from labelrank.session import small_rows, staged
 
 _SLAB_CELLS = 4_000_000
 
@@ -100,11 +100,11 @@ class NearestNeighbors(Estimator, _NeighborParams, DefaultParamsReadable, Defaul
             F.col(self.getLabelCol()).cast("double").alias("label"),
             vector_to_array(self.getFeaturesCol()).alias("x"),
         )
-        return self._copyValues(NearestNeighborsModel(train))
+        return self._copyValues(NearestNeighborsModel(staged(train, "neighbours")))
 
 
 class NearestNeighborsModel(Model, _NeighborParams, SavedModel):
-    """The fitted model is the training table itself."""
+    """The fitted model is the training table itself, in a copy of its own."""
 
     def __init__(self, train: DataFrame):
         super().__init__()

@@ -41,69 +41,65 @@ def add_weight(table: DataFrame, shape: Shape, label: str = "label", out: str =
     return table.withColumn(out, F.when(F.col(label) == 1, shape.rows / max(1, shape.positives)).otherwise(1.0))
 
 
-def models(shape: Shape, key: str = "row_key", rounds: int | None = None, weight: str | None = None) -> dict[str, Estimator]:
-    """The models to compare. ``rounds`` limits trees, boosting rounds and iterations (for trial runs).
+def models(
+    shape: Shape, key: str = "row_key", boosting_rounds: int | None = None, weight: str | None = None
+) -> dict[str, Estimator]:
+    """The models to compare. ``boosting_rounds`` replaces the rounds of the boosted models; nothing else depends on it.
 
     ``weight`` names the row weight for the model that balances classes; see ``add_weight``.
     """
-    def upto(n: int) -> int:
-        return n if rounds is None else min(n, rounds)
-
     # Depths, rounds, rates and layer sizes of the compared models.
     balanced = {} if weight is None else {"weightCol": weight}
     f = shape.features
     return {
         "RandomForest": RandomForestClassifier(
-            maxDepth=10, numTrees=upto(1000), minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=SEED),
+            maxDepth=10, numTrees=1000, minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=SEED),
         "BoostedTreesWeighted": GBTClassifier(
-            maxDepth=10, maxIter=upto(1000), stepSize=0.1, subsamplingRate=0.9, minInfoGain=0.2, seed=SEED, **balanced),
-        "BoostedTreesDeep": GBTClassifier(maxDepth=8, maxIter=upto(500), stepSize=0.1, seed=SEED),
+            maxDepth=10, maxIter=boosting_rounds or 1000, stepSize=0.1, subsamplingRate=0.9, minInfoGain=0.2, seed=SEED, **balanced),
+        "BoostedTreesDeep": GBTClassifier(maxDepth=8, maxIter=boosting_rounds or 500, stepSize=0.1, seed=SEED),
         "BoostedTreesLeafy": GBTClassifier(
-            maxDepth=10, maxIter=upto(200), stepSize=0.1, minInstancesPerNode=20, seed=SEED),
+            maxDepth=10, maxIter=boosting_rounds or 200, stepSize=0.1, minInstancesPerNode=20, seed=SEED),
         "KNN": NearestNeighbors(k=3, p=3.0, weights="distance", keyCol=key),
-        "SVM": LinearSVC(regParam=shape.reg(1.0), maxIter=upto(100), standardization=False),
+        "SVM": LinearSVC(regParam=shape.reg(1.0), maxIter=100, standardization=False),
         "LogisticL1": LogisticRegression(
-            elasticNetParam=1.0, regParam=shape.reg(1.0), maxIter=upto(100), standardization=False),
+            elasticNetParam=1.0, regParam=shape.reg(1.0), maxIter=100, standardization=False),
         "GaussianNB": GaussianNaiveBayes(),
-        "ANN": MultilayerPerceptronClassifier(layers=[f, 50, 50, 50, 2], maxIter=upto(100), blockSize=32, seed=SEED),
+        "ANN": MultilayerPerceptronClassifier(layers=[f, 50, 50, 50, 2], maxIter=100, blockSize=32, seed=SEED),
     }
 
 
-def stacking(shape: Shape, key: str = "row_key", rounds: int | None = None, folds: int = 5) -> Stacking:
+def stacking(shape: Shape, key: str = "row_key", boosting_rounds: int | None = None, folds: int = 5) -> Stacking:
     """Forest and two boosted models under a logistic head."""
-    all_models = tuned_models(shape, key, rounds, with_stacking=False)
+    all_models = tuned_models(shape, key, boosting_rounds, with_stacking=False)
     bases = [all_models[n][0] for n in ("RandomForest", "BoostedTreesA", "BoostedTreesB")]
-    head = LogisticRegression(regParam=shape.reg(1.0), maxIter=100 if rounds is None else min(100, rounds), standardization=False)
+    head = LogisticRegression(regParam=shape.reg(1.0), maxIter=100, standardization=False)
     return Stacking(bases, head, folds=folds, key=key)
 
 
 def tuned_models(
-    shape: Shape, key: str = "row_key", rounds: int | None = None, with_stacking: bool = True
+    shape: Shape, key: str = "row_key", boosting_rounds: int | None = None, with_stacking: bool = True
 ) -> dict[str, tuple[Estimator, list]]:
-    """Default models, each with the grid of settings to search."""
-    def upto(n: int) -> int:
-        return n if rounds is None else min(n, rounds)
-
+    """Default models, each with the grid of settings to search; ``boosting_rounds`` as for ``models``."""
     # Grids and layer sizes. Depth 30 is Spark's limit and stands for an unlimited one.
-    forest = RandomForestClassifier(numTrees=upto(100), maxDepth=30, seed=SEED)
-    boost_a = GBTClassifier(maxDepth=6, maxIter=upto(100), stepSize=0.3, seed=SEED)
-    boost_b = GBTClassifier(maxDepth=6, maxIter=upto(1000), stepSize=0.03, seed=SEED + 1)
+    forest = RandomForestClassifier(numTrees=100, maxDepth=30, seed=SEED)
+    boost_a = GBTClassifier(maxDepth=6, maxIter=boosting_rounds or 100, stepSize=0.3, seed=SEED)
+    boost_b = GBTClassifier(maxDepth=6, maxIter=boosting_rounds or 1000, stepSize=0.03, seed=SEED + 1)
     knn = NearestNeighbors(k=5, p=2.0, weights="uniform", keyCol=key)
-    svm = LinearSVC(regParam=shape.reg(1.0), maxIter=upto(100), standardization=False)
-    logistic = LogisticRegression(regParam=shape.reg(1.0), maxIter=upto(100), standardization=False)
+    svm = LinearSVC(regParam=shape.reg(1.0), maxIter=100, standardization=False)
+    logistic = LogisticRegression(regParam=shape.reg(1.0), maxIter=100, standardization=False)
     layers = [shape.features, 128, 64, 64, 32, 64, 32, 16, 2]
     ann = MultilayerPerceptronClassifier(layers=layers, seed=SEED)
 
     def boost_grid(model: GBTClassifier) -> list:
         return (
-            ParamGridBuilder().addGrid(model.maxIter, [upto(n) for n in (50, 100, 200)])
+            ParamGridBuilder().addGrid(model.maxIter, [50, 100, 200])
             .addGrid(model.stepSize, [0.01, 0.1, 0.2]).build()
         )
 
     found = {
         "RandomForest": (
             forest,
-            ParamGridBuilder().addGrid(forest.numTrees, [upto(n) for n in (50, 100, 200)])
+            ParamGridBuilder().addGrid(forest.numTrees, [50, 100, 200])
             .addGrid(forest.maxDepth, [30, 10, 20]).build(),
         ),
         "BoostedTreesA": (boost_a, boost_grid(boost_a)),
@@ -118,10 +114,10 @@ def tuned_models(
         ),
         "ANN": (
             ann,
-            ParamGridBuilder().addGrid(ann.maxIter, [upto(n) for n in (10, 20)]).addGrid(ann.blockSize, [32, 64])
+            ParamGridBuilder().addGrid(ann.maxIter, [10, 20]).addGrid(ann.blockSize, [32, 64])
             .addGrid(ann.solver, ["l-bfgs", "gd"]).build(),
         ),
     }
     if with_stacking:
-        found["Stacking"] = (stacking(shape, key, rounds), [{}])
+        found["Stacking"] = (stacking(shape, key, boosting_rounds), [{}])
     return found

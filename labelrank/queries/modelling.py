@@ -18,10 +18,9 @@ from labelrank.session import scratch_path
 from labelrank.sources.tables import load_model, save_model
 
 WIDTH = 64
-# Trees, rounds and iterations in the flows that fit many models.
-ROUNDS = 5
-# Fixed value: the smallest number of boosting rounds that is searched; used where one boosted model is fitted.
+# Fixed value: the smallest number of boosting rounds that is searched; all other settings are the registry's.
 BOOSTING_ROUNDS = 50
+UNBOOSTED = ("RandomForest", "KNN", "SVM", "LogisticL1", "GaussianNB", "ANN")
 
 
 def vectors(spark, sf_dir):
@@ -32,17 +31,17 @@ def vectors(spark, sf_dir):
     )
 
 
-def _fit_and_score(spark, sf_dir, name, **kw):
+def _models(shape):
+    return registry.models(shape, boosting_rounds=BOOSTING_ROUNDS, weight="weight")
+
+
+def _fit_and_score(spark, sf_dir, name):
     """Scores of the hold-out rows by the named model, fitted on the other rows."""
     rows = holdout(vectors(spark, sf_dir), "row_key")
     train = rows.where("not is_test").drop("is_test")
     shape = registry.shape_of(train, WIDTH)
-    if name == "BoostedTreesWeighted":
-        train, kw = registry.add_weight(train, shape), {"weight": "weight"}
-    estimator = registry.models(shape, **kw)[name]
-    if name.startswith("BoostedTrees"):
-        estimator.setMaxIter(BOOSTING_ROUNDS)
-    model = estimator.fit(train)
+    train = registry.add_weight(train, shape)
+    model = _models(shape)[name].fit(train)
     test = rows.where("is_test").drop("is_test")
     return scoring.score_all({name: model}, test, ["row_key", "label"])
 
@@ -129,7 +128,8 @@ def score_all(spark, sf_dir):
     """Every registered model fitted on the training part; every test row scored by every model."""
     rows = holdout(vectors(spark, sf_dir), "row_key")
     train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
-    models = registry.models(registry.shape_of(train, WIDTH), rounds=3)
+    shape = registry.shape_of(train, WIDTH)
+    train, models = registry.add_weight(train, shape), _models(shape)
     return scoring.score_all({n: m.fit(train) for n, m in models.items()}, test, ["row_key", "label"])
 
 
@@ -140,8 +140,8 @@ def rank_with_models(spark, sf_dir):
     rows = assemble(done.table, done.features).select(
         F.col("c_custkey").alias("row_key"), "season", "player", F.col("mvp_award").alias("label"), "features")
     train = rows.where(F.col("season").between(1995, 1999))
-    estimators = registry.models(registry.shape_of(train, len(done.features)), rounds=ROUNDS)
-    models = {n: estimators[n].fit(train) for n in ("RandomForest", "LogisticL1", "GaussianNB")}
+    estimators = registry.models(registry.shape_of(train, len(done.features)))
+    models = {n: estimators[n].fit(train) for n in UNBOOSTED}
     return scoring.rank_seasons(models, rows, [2000, 2001])
 
 
@@ -178,13 +178,13 @@ def score_external_tensor(spark, sf_dir):
 
 
 @query("""select vec_id as row_key, model, true as same from embeddings
-cross join (values ('RandomForest'), ('LogisticL1'), ('KNN'), ('GaussianNB')) m(model)""")
+cross join (values ('RandomForest'), ('BoostedTreesDeep'), ('KNN'), ('SVM'), ('LogisticL1'), ('GaussianNB'), ('ANN')) m(model)""")
 def model_roundtrip(spark, sf_dir):
     """Models saved and loaded again give every row the same score."""
     rows = vectors(spark, sf_dir)
-    estimators = registry.models(registry.shape_of(rows, WIDTH), rounds=ROUNDS)
+    estimators = _models(registry.shape_of(rows, WIDTH))
     base = scratch_path(spark, "saved")
-    fitted = {n: PipelineModel([estimators[n].fit(rows)]) for n in ("RandomForest", "LogisticL1", "KNN", "GaussianNB")}
+    fitted = {n: PipelineModel([estimators[n].fit(rows)]) for n in (*UNBOOSTED, "BoostedTreesDeep")}
     for name, model in fitted.items():
         save_model(model, base, name)
     before = scoring.score_all(fitted, rows, ["row_key"]).withColumnRenamed("score", "old")
@@ -201,7 +201,7 @@ def _some(searches: dict, *names: str) -> dict:
 def stacking(spark, sf_dir):
     rows = holdout(vectors(spark, sf_dir), "row_key")
     train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
-    model = registry.stacking(registry.shape_of(train, WIDTH), rounds=3, folds=3).fit(train)
+    model = registry.stacking(registry.shape_of(train, WIDTH), boosting_rounds=BOOSTING_ROUNDS).fit(train)
     return scoring.score_all({"Stacking": model}, test, ["row_key", "label"])
 
 
@@ -209,46 +209,46 @@ def stacking(spark, sf_dir):
 def compare_holdout(spark, sf_dir):
     """All models on one stratified hold-out, best accuracy first."""
     rows = vectors(spark, sf_dir)
-    found = training.compare(rows, registry.models(registry.shape_of(rows, WIDTH), rounds=3), stratify=True)
+    shape = registry.shape_of(rows, WIDTH)
+    found = training.compare(registry.add_weight(rows, shape), _models(shape), stratify=True)
     return found.leaderboard()
 
 
 def _compare_cv(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    estimators = _some(registry.models(registry.shape_of(rows, WIDTH), rounds=3), "RandomForest", "KNN", "SVM", "GaussianNB")
+    estimators = _some(registry.models(registry.shape_of(rows, WIDTH)), *UNBOOSTED)
     return training.compare(rows, estimators, cross_validate=True)
 
 
 @query()
 def compare_cv(spark, sf_dir):
-    """Class reports of four models on five folds."""
+    """Class reports of all models without boosting on five folds."""
     return _compare_cv(spark, sf_dir).reports
 
 
 @query()
 def timings(spark, sf_dir):
-    """Mean accuracy, fit time and prediction time of four models over five folds."""
+    """Mean accuracy, fit time and prediction time of the same models over five folds."""
     return _compare_cv(spark, sf_dir).mean_times()
 
 
 def _searches(rows):
-    found = _some(registry.tuned_models(registry.shape_of(rows, WIDTH), rounds=3), "KNN", "SVM", "GaussianNB", "LogisticRegression")
-    return found
+    return _some(registry.tuned_models(registry.shape_of(rows, WIDTH)), "RandomForest", "KNN", "SVM", "GaussianNB", "LogisticRegression", "ANN")
 
 
 @query()
 def grid_search(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    found = tuning.grid_search(rows, _searches(rows), k=3)
+    found = tuning.grid_search(rows, _searches(rows))
     return found.select("model", "candidate", F.to_json("params").alias("params"), "mean_accuracy")
 
 
 @query()
 def refit_best(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    searches = _some(_searches(rows), "SVM", "LogisticRegression")
-    found = tuning.grid_search(rows, searches, k=3)
-    return tuning.refit_best(rows, found, searches, k=3).metrics.select("model", "fold", "accuracy", "mae")
+    searches = _some(_searches(rows), "SVM", "LogisticRegression", "ANN")
+    found = tuning.grid_search(rows, searches)
+    return tuning.refit_best(rows, found, searches).metrics.select("model", "fold", "accuracy", "mae")
 
 
 # --- the same flows with models that SQL can express, so that every number can be checked ------------
@@ -365,7 +365,7 @@ def scores_valid(spark, sf_dir):
     """Every hold-out row has one score per model, within [0, 1], and a class of 0 or 1."""
     rows = holdout(vectors(spark, sf_dir), "row_key")
     train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
-    models = registry.models(registry.shape_of(train, WIDTH), rounds=3)
+    models = _models(registry.shape_of(train, WIDTH))
     names = ("RandomForest", "BoostedTreesDeep", "LogisticL1", "ANN", "GaussianNB", "KNN")
     scored = scoring.score_all({n: models[n].fit(train) for n in names}, test, ["row_key", "label"])
     valid = F.col("score").between(0, 1) & F.col("prediction").isin(0, 1)

@@ -25,7 +25,7 @@ def table(spark):
 def fitted(table):
     shape = registry.shape_of(table, 4)
     weighted = registry.add_weight(table, shape)
-    return {n: m.fit(weighted) for n, m in registry.models(shape, rounds=4, weight="weight").items()}
+    return {n: m.fit(weighted) for n, m in registry.models(shape, boosting_rounds=4, weight="weight").items()}
 
 
 def test_shape_and_weight(table):
@@ -59,7 +59,7 @@ def test_scores_separate_the_classes(table, fitted):
 def test_same_seed_same_scores(table):
     shape = registry.shape_of(table, 4)
     for name in ("RandomForest", "BoostedTreesDeep", "ANN"):
-        a, b = (registry.models(shape, rounds=3)[name].fit(table) for _ in range(2))
+        a, b = (registry.models(shape, boosting_rounds=3)[name].fit(table) for _ in range(2))
         diff = scoring.score_all({"a": a, "b": b}, table, ["row_key"]).groupBy("row_key").agg((F.max("score") - F.min("score")).alias("d"))
         assert diff.agg(F.max("d")).first()[0] == 0.0
 
@@ -80,7 +80,7 @@ def test_logistic_reaches_the_l1_optimum(spark):
 
 
 def test_models_survive_saving(spark, table, fitted, tmp_path):
-    stack = registry.stacking(registry.shape_of(table, 4), rounds=2, folds=2).fit(table)
+    stack = registry.stacking(registry.shape_of(table, 4), boosting_rounds=2, folds=2).fit(table)
     for name, model in {**fitted, "Stacking": stack}.items():
         save_model(PipelineModel([model]), str(tmp_path), name)
         again = load_model(str(tmp_path), name)
@@ -106,7 +106,7 @@ def test_external_network(spark, table):
 
 
 def test_compare_holdout(spark, table, tmp_path):
-    estimators = {n: m for n, m in registry.models(registry.shape_of(table, 4), rounds=3).items() if n in ("GaussianNB", "SVM")}
+    estimators = {n: m for n, m in registry.models(registry.shape_of(table, 4), boosting_rounds=3).items() if n in ("GaussianNB", "SVM")}
     found = training.compare(table, estimators, stratify=True, save_to=str(tmp_path))
     rows = found.metrics.collect()
     assert [r.model for r in found.leaderboard().orderBy("rank").collect()] and len(rows) == 2
@@ -134,7 +134,7 @@ def test_label_that_is_not_binary_yet(table):
 
 
 def test_grid_search_and_refit(table):
-    searches = registry.tuned_models(registry.shape_of(table, 4), rounds=2, with_stacking=False)
+    searches = registry.tuned_models(registry.shape_of(table, 4), boosting_rounds=2, with_stacking=False)
     searches = {n: searches[n] for n in ("LogisticRegression", "ANN")}
     found = tuning.grid_search(table, searches, k=2, stratify=False).cache()
     assert {r.model: r["count"] for r in found.groupBy("model").count().collect()} == {"LogisticRegression": 3, "ANN": 8}
