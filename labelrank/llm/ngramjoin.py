@@ -28,9 +28,16 @@ from labelrank.llm.textops import mix, shingles, slices, text_array
 
 #: Runs in a block of a large group, and in a group that stays whole.
 BLOCK = 100_000
+#: 64-bit words of the bitmap that keeps texts out of a shuffle: 2 MB, whatever the table's size.
+WORDS = 1 << 18
 _U = np.uint64
 
 
+def _border(sampled: float) -> int:
+    """The unsigned hash at which the sampled part of the hash space ends."""
+    return min(2**64 - 1, int(sampled * 2**64))
+
+
 def _signature(own: np.ndarray) -> int:
     """64-bit hash of a set, whatever the order: sum and xor of mixed hashes, mixed again."""
     h = mix(own)
@@ -41,7 +48,7 @@ def _signature(own: np.ndarray) -> int:
 def _sets(docs: DataFrame, width: int, similarity: Fraction, sampled: float) -> DataFrame:
     """(_k, _t, s, n, low, runs): signature and size of each set, its sampled runs, and how many of these
     lie in the sampled part. Sets too small to be like another one unless equal have no runs here."""
-    border = _U(min(2**64 - 1, int(sampled * 2**64)))
+    border = _U(_border(sampled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,25 +72,33 @@ def _sets(docs: DataFrame, width: int, similarity: Fraction, sampled: float) ->
     return docs.mapInArrow(run, "_k bigint, _t int, s bigint, n bigint, low bigint, runs array<bigint>")
 
 
-def _candidates(sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """(s, n, run): the runs among the first of a set's order that other sets hold, too."""
-    each = sets.where(F.size("runs") > 0).select("s", "n", "low", F.posexplode("runs").alias("at", "run")).repartition("run")
+def _candidates(sets: DataFrame, nodes: DataFrame, similarity: Fraction, sampled: float) -> DataFrame:
+    """(s, run): the runs among the first of a set's order that other sets hold, too.
+
+    Only (s, run) goes through the exchange of all listed runs; sizes come back from ``nodes`` (s, n, low). In the
+    result and behind that exchange a run is its place in the global order, one number: a step of how many sets
+    hold it (the leading two bits and their position), then the first 56 bits of its hash. Runs that agree in all
+    of that only make more candidates.
+    """
+    each = sets.where(F.size("runs") > 0).select("s", F.explode("runs").alias("run")).repartition("run")
     one = Window.partitionBy("run", "s").orderBy("s")
     all_of = Window.partitionBy("run")
     # copies of a set count once; all this takes a single exchange by run
     counted = each.withColumn("copy", F.row_number().over(one)).withColumn("held", F.sum(F.when(F.col("copy") == 1, 1)).over(all_of))
     shared = counted.where("copy = 1 and held > 1")
     # a run behind the sampled part is only listed if it is needed, and stands as held by none
-    place = F.struct(F.when(F.col("at") < F.col("low"), F.col("held")).otherwise(0).cast("int").alias("held"), "run")
-    per_set = shared.groupBy("s").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.sort_array(F.collect_list(place)).alias("places"))
+    in_part = F.col("run").bitwiseXOR(F.lit(-(2**63))) < F.lit(_border(sampled) - 2**63)
+    step = F.expr("2 * length(bin(held)) + (shiftright(held, length(bin(held)) - 2) & 1)").cast("bigint")
+    place = F.shiftleft(F.when(in_part, step).otherwise(F.lit(0).cast("bigint")), 56).bitwiseOR(F.shiftrightunsigned("run", 8))
+    per_set = shared.select("s", place.alias("place")).groupBy("s").agg(F.sort_array(F.collect_list("place")).alias("places")).join(nodes, "s")
     num, den = similarity.numerator, similarity.denominator
     first = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)) + 1
-    late = F.size(F.filter("places", lambda p: p.held == 0))
+    late = F.size(F.filter("places", lambda p: p < F.lit(2**56)))
     early = F.size("places") - late
     # unshared runs of the sampled part come first
     room = F.greatest(F.lit(0), F.least(first, F.col("low")) - (F.col("low") - early))
     taken = F.slice("places", F.lit(1), (late + F.least(room, early)).cast("int"))
-    return per_set.select("s", "n", F.explode(taken).alias("p")).select("s", "n", F.col("p.run").alias("run"))
+    return per_set.select("s", F.explode(taken).alias("run"))
 
 
 def _stars(candidates: DataFrame) -> DataFrame:
@@ -144,6 +159,19 @@ def _links(rows: DataFrame, similarity: Fraction) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_hit``: true if (_k, _t) is one of ``keys``, and for few others.
+
+    The keys go out as a bitmap of at most ``WORDS`` words, so nothing of ``rows`` is shuffled. With very many
+    keys the bitmap fills up and most rows are hits, which costs work later but changes no result.
+    """
+    h = F.xxhash64("_k", "_t")
+    word, bit = F.pmod(h, F.lit(WORDS)), F.shiftrightunsigned(h, 58).cast("int")
+    bitmap = keys.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_mask"))
+    found = rows.withColumns({"_w": word, "_b": bit}).join(F.broadcast(bitmap), "_w", "left")
+    return found.withColumn("_hit", F.expr("coalesce(shiftright(_mask, _b) & 1L, 0L) = 1L")).drop("_w", "_b", "_mask")
+
+
 def _full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(s, comp, large, runs): the whole sets of ``members``, from the texts that stand for them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +183,7 @@ def _full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), lists], ["s", "comp", "large", "runs"])
 
     copies = Window.partitionBy("_k", "_t").orderBy("_k")
-    one = docs.join(members, ["_k", "_t"]).withColumn("_n", F.row_number().over(copies)).where("_n = 1")
+    one = _marked(docs, members).where("_hit").join(members, ["_k", "_t"]).withColumn("_n", F.row_number().over(copies)).where("_n = 1")
     return one.select("s", "comp", "large", "text").mapInArrow(run, "s bigint, comp bigint, large boolean, runs array<bigint>")
 
 
@@ -167,10 +195,12 @@ def _labels(docs: DataFrame, doc_id: str, text: str, width: int, similarity: Fra
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("_t", F.hash("text"))
     sets = written(_sets(rows.select("_k", "_t", "text"), width, similarity, share), "sets")
-    candidates = written(_candidates(sets, similarity), "candidates")
+    one_of = sets.select("s", "n", "low", "_k", "_t").groupBy("s").agg(
+        F.min(F.struct("_k", "_t")).alias("one"), F.first("n").alias("n"), F.first("low").alias("low"))
+    nodes = written(one_of, "nodes")
+    candidates = written(_candidates(sets, nodes.select("s", "n", "low"), similarity, share), "candidates")
     groups = components(_stars(candidates))
-    one_of = sets.select("s", "n", "_k", "_t").groupBy("s").agg(F.min(F.struct("_k", "_t")).alias("one"), F.first("n").alias("n"))
-    members = groups.select(F.col("node").alias("s"), F.col("root").alias("comp")).join(one_of, "s").select(
+    members = groups.select(F.col("node").alias("s"), F.col("root").alias("comp")).join(nodes, "s").select(
         "s", "comp", "n", F.col("one._k").alias("_k"), F.col("one._t").alias("_t"), F.floor(F.log("n") / step).cast("int").alias("cls"))
     size = members.groupBy("comp").agg((F.sum("n") > BLOCK).alias("large"))
     members = written(members.join(size, "comp"), "members")
@@ -222,13 +252,18 @@ def one_of_each(
     Null ids come after all others. Documents without words are all kept. Of rows that repeat an id and a text
     one is kept, whichever has words.
     """
-    labelled = _labels(docs, doc_id, text, width, similarity, sampled)
+    labelled = written(_labels(docs, doc_id, text, width, similarity, sampled), "labels")
     none = labelled.where("label is null").select("_k", "_t").distinct()
-    best = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct((F.col("_k") == NO_ID).alias("last"), "_k", "_t")).alias("m"))
+    held = labelled.where("label is not null").groupBy("label").agg(
+        F.min(F.struct((F.col("_k") == NO_ID).alias("last"), "_k", "_t")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    best = written(held, "best")
     keep = none.withColumn("_all", F.lit(True)).union(best.select("m._k", "m._t", F.lit(False)))
+    several = labelled.join(best.where("rows > 1").select("label"), "label").select("_k", "_t")
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # own names, whatever the columns are called
-    rows = docs.select(
+    rows = _marked(docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("_k"),
-        F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_t"))
-    kept = rows.join(keep, ["_k", "_t"]).withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_k")))
-    return kept.where("_all or _n = 1").select(*[F.col(n).alias(c) for c, n in names.items()])
+        F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_t")), several)
+    # only rows of classes with several rows meet the list of those that stay
+    kept = rows.where("_hit").join(keep, ["_k", "_t"]).withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_k")))
+    out = [F.col(n).alias(c) for c, n in names.items()]
+    return rows.where("not _hit").select(*out).union(kept.where("_all or _n = 1").select(*out))
