@@ -69,7 +69,7 @@ def _sets(docs: DataFrame, width: int, similarity: Fraction, sampled: float) ->
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sig, pa.int64()), pa.array(size, pa.int64()),
                      pa.array(low, pa.int64()), lists], ["_k", "_t", "s", "n", "low", "runs"])
 
-    return docs.mapInArrow(run, "_k bigint, _t int, s bigint, n bigint, low bigint, runs array<bigint>")
+    return docs.mapInArrow(run, "_k bigint, _t bigint, s bigint, n bigint, low bigint, runs array<bigint>")
 
 
 def _candidates(sets: DataFrame, nodes: DataFrame, similarity: Fraction, sampled: float) -> DataFrame:
@@ -193,7 +193,7 @@ def _labels(docs: DataFrame, doc_id: str, text: str, width: int, similarity: Fra
     share = float(min(1, 1 - similarity + Fraction(1, 5))) if sampled is None else sampled
     step = math.log(1 / similarity) + 1e-6  # sizes of linked sets lie in the same or neighbouring classes
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("_t", F.hash("text"))
+    rows = rows.withColumn("_t", F.xxhash64("text"))
     sets = written(_sets(rows.select("_k", "_t", "text"), width, similarity, share), "sets")
     one_of = sets.select("s", "n", "low", "_k", "_t").groupBy("s").agg(
         F.min(F.struct("_k", "_t")).alias("one"), F.first("n").alias("n"), F.first("low").alias("low"))
@@ -230,7 +230,7 @@ def classes(
 
     Words are runs of bytes but ASCII white space, with A-Z lower-cased; a document's set holds its distinct
     runs of ``width`` words, or all its words as one run if there are fewer. Documents link when intersection
-    over union is at least ``similarity``, exactly (set elements are 64-bit hashes). ``component_id`` is the
+    over union is at least ``similarity``, exactly (set elements are 64-bit hashes, and so is what tells texts of one id apart). ``component_id`` is the
     smallest id reachable by links. Null and empty texts and texts without words have the empty set and link
     with nothing: each is its own class. Rows that repeat an id have a row each; a null id is a document, and
     its class has the smallest id of the others, or null. ``sampled`` is the part of the hash space whose runs
@@ -262,7 +262,7 @@ def one_of_each(
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # own names, whatever the columns are called
     rows = _marked(docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("_k"),
-        F.hash(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_t")), several)
+        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_t")), several)
     # only rows of classes with several rows meet the list of those that stay
     kept = rows.where("_hit").join(keep, ["_k", "_t"]).withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_k")))
     out = [F.col(n).alias(c) for c, n in names.items()]

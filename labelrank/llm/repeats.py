@@ -107,9 +107,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, cut: Lengths) -> dict[str, np.
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(_k, _t, text): documents are told apart by id and a hash of the text."""
+    """(_k, _t, text): documents are told apart by id and a 64-bit hash of the text."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("_t", F.hash("text"))
+    return rows.withColumn("_t", F.xxhash64("text"))
 
 
 def _marks(rows: DataFrame, cut: Lengths) -> DataFrame:
@@ -124,7 +124,7 @@ def _marks(rows: DataFrame, cut: Lengths) -> DataFrame:
                      pa.array(a["first"], pa.int64()), pa.array(a["last"] - a["first"], pa.int32())],
                     ["_k", "_t", "anchor", "context", "first", "more"])
 
-    found = rows.select("_k", "_t", "text").mapInArrow(run, "_k bigint, _t int, anchor bigint, context bigint, first bigint, more int")
+    found = rows.select("_k", "_t", "text").mapInArrow(run, "_k bigint, _t bigint, anchor bigint, context bigint, first bigint, more int")
     ordered = Window.partitionBy("anchor", "context").orderBy("_k", "_t", "first")
     grouped = (
         found.withColumn("copy", F.row_number().over(ordered))
@@ -155,10 +155,10 @@ def _contexts(rows: DataFrame, marks: DataFrame, cut: Lengths) -> DataFrame:
                     ["_k", "_t", "anchor", "kinds", "open", "first", "bytes"])
 
     joined = one.join(wanted, ["_k", "_t"]).select("_k", "_t", "text", "wanted")
-    return joined.mapInArrow(run, "_k bigint, _t int, anchor bigint, kinds bigint, open boolean, first bigint, bytes binary")
+    return joined.mapInArrow(run, "_k bigint, _t bigint, anchor bigint, kinds bigint, open boolean, first bigint, bytes binary")
 
 
-SPANS = "_k bigint, _t int, begin bigint, end bigint"
+SPANS = "_k bigint, _t bigint, begin bigint, end bigint"
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +234,7 @@ def _counted(contexts: DataFrame, cut: Lengths) -> DataFrame:
                     ["_k", "_t", "anchor", "open", "begin", "window"])
 
     each = contexts.select("_k", "_t", "anchor", "open", "first", "bytes").mapInArrow(
-        run, "_k bigint, _t int, anchor bigint, open boolean, begin bigint, window bigint")
+        run, "_k bigint, _t bigint, anchor bigint, open boolean, begin bigint, window bigint")
     again = each.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return each.where("open").join(again, ["anchor", "window"]).select("_k", "_t", "begin", (F.col("begin") + cut.length).alias("end"))
 
@@ -261,7 +261,7 @@ def remove_repeats(
     another, is removed, judged on the input; strings never cross documents. ``spans`` are the maximal removed
     stretches (begin, end), in bytes. Cuts may fall within a character, so the rest is bytes. Null is the empty
     text; a text shorter than ``length`` keeps everything. Rows that repeat an id and a text are copies of each
-    other, and both are removed; a null id is an id. Window and context hashes have 64 bits.
+    other, and both are removed; a null id is an id. Window, context and text hashes have 64 bits.
     """
     rows = _keyed(docs, doc_id, text)
     spans = repeated_spans(docs, doc_id, text, length, gram, group)

@@ -290,6 +290,32 @@ def test_repeats(docs, none, length, gram, group):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def same_short_hash(spark, a, b):
+    """Both texts have one 32-bit hash."""
+    found = spark.createDataFrame([(a,), (b,)], "text string").select(F.hash("text").alias("h")).distinct()
+    return a != b and found.count() == 1
+
+
+def test_rows_without_id_are_told_apart_by_repeats(spark):
+    shared = " ".join(f"shared{i}" for i in range(30))
+    a, b = f"long text 6831 {shared}", "short 63279"
+    assert same_short_hash(spark, a, b)
+    texts = [(None, a), (None, b), (1, shared)]
+    got = repeats.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert bag(got) == Counter((i, *r) for (i, _), r in zip(texts, without_repeats([t for _, t in texts], 200)))
+
+
+def test_rows_without_id_are_told_apart_by_classes(spark):
+    ten, six = "one two three four five six seven eight nine ten", "red green blue black white grey"
+    a, b = f"{ten} 6696", f"{six} 382965"
+    assert same_short_hash(spark, a, b)
+    texts = [(None, a), (None, b), (5, f"{ten} other"), (6, f"{six} other")]
+    got = ngramjoin.classes(spark.createDataFrame(texts, "doc_id bigint, text string"), width=1, similarity=Fraction(1, 2))
+    assert bag(got) == classes_of(texts, 1, 1, 2)
+    twice = spark.createDataFrame([(None, a), (None, b)] * 2, "doc_id bigint, text string")
+    assert bag(ngramjoin.one_of_each(twice)) == Counter([(None, a), (None, b)])
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(1)
     for _ in range(60):
