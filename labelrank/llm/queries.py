@@ -146,10 +146,11 @@ from caps c left join found f on c.page_id = f.page_id
 """)
 def op7_url_filters(spark, sf_dir):
     """Every capture against the dated lists. The pages have no dates and no lists come with them, so the day of
-    a capture, and three dated entries for part of the keys that occur, come from hashes of ids and keys."""
+    a capture, and three dated entries for part of the keys that occur (paths of up to two segments), come from hashes of
+    ids and keys."""
     caps = table(spark, sf_dir, "pages").select(
         "page_id", "url", F.date_add(F.lit(FIRST_DAY).cast("date"), (_number("md5(concat('fetch:', page_id))") % DAYS).cast("int")).alias("day"))
-    keys = caps.select(F.explode(urlfilter.keys_of(F.col("url"))).alias("key")).distinct()
+    keys = caps.select(F.explode(urlfilter.keys_of(F.col("url"), 2)).alias("key")).distinct()
     logs = keys.select("key", F.explode(F.array(*[F.lit(t) for t in "abc"])).alias("t")).select("key", _number("md5(concat(t, ':', key))").alias("n"))
     logs = logs.where("n % 5 < 3").select(
         F.when(F.col("n") % 4 == 3, urlfilter.ALLOW).otherwise(urlfilter.BLOCK).alias("list"), "key",

@@ -26,14 +26,17 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(url: Column, parts: int = 2) -> Column:
-    """Keys that may list an address: the host, its parent domains of two labels or more, host and path prefixes."""
+def keys_of(url: Column, parts: int | None = None) -> Column:
+    """Keys that may list an address: the host, its parent domains of two labels or more, host and path prefixes.
+
+    ``parts`` leaves out prefixes of more path segments; without it all prefixes are there.
+    """
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.array_join(F.slice(labels, i, n), "."))
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
-    depth = F.least(F.lit(parts), F.size(steps))
+    depth = F.size(steps) if parts is None else F.least(F.lit(parts), F.size(steps))
     prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), depth)), lambda i: F.concat(
         host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, prefixes))).otherwise(F.array().cast("array<string>"))
@@ -53,7 +56,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("day").over(w)).where("off = 0").select("list", "key", F.col("day").alias("since"), "until")
 
 
-def evaluate(captures: DataFrame, active: DataFrame, capture_id: str, url: str, day: str, parts: int = 2) -> DataFrame:
+def evaluate(captures: DataFrame, active: DataFrame, capture_id: str, url: str, day: str) -> DataFrame:
     """(capture_id, host, day, n_active, blocked_by, allowed_by, kept) for every capture.
 
     A capture is dropped (``kept`` false) if an active block entry lists it and no allow entry with a key at
@@ -61,12 +64,16 @@ def evaluate(captures: DataFrame, active: DataFrame, capture_id: str, url: str,
     order among equals), null without one. A null address, or one without a host, or a null day matches nothing
     and is kept. Rows that repeat an id with the same address and day give repeated results.
 
+    Path prefixes of any depth count: the deepest key of the list is measured, and each capture's prefixes are
+    made up to that depth.
+
     Hot hosts: captures are first reduced to distinct (address, day), and a list that is small when measured
     is broadcast; otherwise the join shuffles on the key and AQE splits a hot one.
     """
     own = captures.select(F.col(capture_id).alias("capture_id"), F.col(url).alias("_url"), F.col(day).alias("_day"))
     asked = own.select("_url", "_day").dropna().distinct()
-    asked = asked.select("*", F.explode(keys_of(F.col("_url"), parts)).alias("key"))
+    deepest = active.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    asked = asked.select("*", F.explode(keys_of(F.col("_url"), deepest)).alias("key"))
     lists = small_side(active.select("list", F.col("key").alias("_key"), "since", "until"))
     hits = asked.join(lists, (F.col("key") == F.col("_key")) & (F.col("_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
     longest = F.struct(F.length("key").alias("n"), "key")

@@ -232,6 +232,21 @@ def test_url_filters(spark):
     assert urlfilter.evaluate(caps, active.limit(0), "id", "url", "day").where("kept").count() == len(rows)
 
 
+def test_url_filters_of_deep_paths(spark):
+    entries = spark.createDataFrame([
+        ("block", "a.org/x/y/z", "2020-01-01", "add"), ("block", "b.org", "2020-01-01", "add"), ("allow", "b.org/1/2/3/4/5", "2020-01-01", "add"),
+    ], "list string, key string, day string, action string").withColumn("day", F.to_date("day"))
+    rows = [
+        (1, "http://a.org/x/y/z/page.html", False, 1), (2, "http://a.org/x/y/z", False, 1), (3, "http://a.org/x/y", True, 0), (4, "http://a.org/x/y/zz", True, 0),
+        (5, "http://b.org/1/2/3/4/5/6?q", True, 2), (6, "http://b.org/1/2/3/4", False, 1), (7, "http://a.org", True, 0),
+    ]
+    caps = spark.createDataFrame([r[:2] for r in rows], "id bigint, url string").withColumn("day", F.to_date(F.lit("2020-05-05")))
+    got = urlfilter.evaluate(caps, urlfilter.intervals(entries), "id", "url", "day")
+    assert Counter((r.capture_id, r.kept, r.n_active) for r in got.collect()) == Counter((r[0], *r[2:]) for r in rows)
+    [keys] = caps.where("id = 2").select(urlfilter.keys_of(F.col("url")).alias("keys")).collect()
+    assert set(keys["keys"]) == {"a.org", "a.org/x", "a.org/x/y", "a.org/x/y/z"}
+
+
 @pytest.mark.parametrize("block", [30, 1 << 20])
 def test_contamination(spark, docs, none, block):
     items = spark.createDataFrame(
