@@ -195,15 +195,14 @@ def test_prep_flow(spark, sf_dir):
 def select_by_importance(spark, sf_dir):
     items = spread_table(spark, sf_dir, "lineitem", *ITEM_KEYS, *ITEM_NUMBERS, "l_returnflag")
     df = items.select(*ITEM_KEYS, *ITEM_NUMBERS, (F.col("l_returnflag") == "R").cast("int").alias("label"))
-    found = prep.feature_importances(df, ITEM_NUMBERS, "label", num_trees=10, max_depth=5)
+    found = prep.feature_importances(df, ITEM_NUMBERS, "label")
     return prep.select_by_importance(df, found, [*ITEM_KEYS, "label"])
 
 
 @query()
 def prep_flow_selected(spark, sf_dir):
     """The whole flow, forest included; the forest sees the training seasons only."""
-    kw = {"num_trees": 10, "max_depth": 5}
-    done = prepare(stored_player_season(spark, sf_dir), ids=["c_custkey"], importances_kw=kw, fit_on=F.col("season") < 2000)
+    done = prepare(stored_player_season(spark, sf_dir), ids=["c_custkey"], importances_kw={}, fit_on=F.col("season") < 2000)
     return done.table
 
 
