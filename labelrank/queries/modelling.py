@@ -14,17 +14,15 @@ from labelrank.plans.preparation import prepare
 from labelrank.queries.base import LABELLED, query, spread_table, sql_hash, stored_player_season
 from labelrank.queries.evaluating import _report_sql, rounded_report
 from labelrank.queries.preparing import ITEM_KEYS, ITEM_NUMBERS
-from labelrank.session import scratch_path
+from labelrank.session import ensure_checkpoint_dir, scratch_path
 from labelrank.sources.tables import load_model, save_model
 
 WIDTH = 64
-# Fixed value: the smallest number of boosting rounds that is searched; all other settings are the registry's.
-BOOSTING_ROUNDS = 50
-UNBOOSTED = ("RandomForest", "KNN", "SVM", "LogisticL1", "GaussianNB", "ANN")
 
 
 def vectors(spark, sf_dir):
     """(row_key, label, features): embeddings, with the first three labels as the positive class."""
+    ensure_checkpoint_dir(spark)  # boosting cuts its lineage there
     return spread_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
         F.col("vec_id").alias("row_key"), (F.col("label") < 3).cast("double").alias("label"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
@@ -32,7 +30,7 @@ def vectors(spark, sf_dir):
 
 
 def _models(shape):
-    return registry.models(shape, boosting_rounds=BOOSTING_ROUNDS, weight="weight")
+    return registry.models(shape, weight="weight")
 
 
 def _fit_and_score(spark, sf_dir, name):
@@ -140,8 +138,10 @@ def rank_with_models(spark, sf_dir):
     rows = assemble(done.table, done.features).select(
         F.col("c_custkey").alias("row_key"), "season", "player", F.col("mvp_award").alias("label"), "features")
     train = rows.where(F.col("season").between(1995, 1999))
-    estimators = registry.models(registry.shape_of(train, len(done.features)))
-    models = {n: estimators[n].fit(train) for n in UNBOOSTED}
+    shape = registry.shape_of(train, len(done.features))
+    train = registry.add_weight(train, shape)
+    ensure_checkpoint_dir(spark)
+    models = {n: m.fit(train) for n, m in _models(shape).items()}
     return scoring.rank_seasons(models, rows, [2000, 2001])
 
 
@@ -177,14 +177,12 @@ def score_external_tensor(spark, sf_dir):
     return scored.select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query("""select vec_id as row_key, model, true as same from embeddings
-cross join (values ('RandomForest'), ('BoostedTreesDeep'), ('KNN'), ('SVM'), ('LogisticL1'), ('GaussianNB'), ('ANN')) m(model)""")
-def model_roundtrip(spark, sf_dir):
-    """Models saved and loaded again give every row the same score."""
+def _roundtrip(spark, sf_dir, names):
     rows = vectors(spark, sf_dir)
-    estimators = _models(registry.shape_of(rows, WIDTH))
+    shape = registry.shape_of(rows, WIDTH)
+    rows, estimators = registry.add_weight(rows, shape), _models(shape)
     base = scratch_path(spark, "saved")
-    fitted = {n: PipelineModel([estimators[n].fit(rows)]) for n in (*UNBOOSTED, "BoostedTreesDeep")}
+    fitted = {n: PipelineModel([estimators[n].fit(rows)]) for n in names}
     for name, model in fitted.items():
         save_model(model, base, name)
     before = scoring.score_all(fitted, rows, ["row_key"]).withColumnRenamed("score", "old")
@@ -193,6 +191,20 @@ def model_roundtrip(spark, sf_dir):
         "row_key", "model", (F.abs(F.col("old") - F.col("score")) < 1e-9).alias("same"))
 
 
+@query("""select vec_id as row_key, model, true as same from embeddings
+cross join (values ('RandomForest'), ('BoostedTreesDeep'), ('KNN'), ('SVM'), ('LogisticL1'), ('GaussianNB'), ('ANN')) m(model)""")
+def model_roundtrip(spark, sf_dir):
+    """Models saved and loaded again give every row the same score."""
+    return _roundtrip(spark, sf_dir, ("RandomForest", "KNN", "SVM", "LogisticL1", "GaussianNB", "ANN", "BoostedTreesDeep"))
+
+
+@query("""select vec_id as row_key, model, true as same from embeddings
+cross join (values ('BoostedTreesWeighted'), ('BoostedTreesLeafy')) m(model)""")
+def model_roundtrip_boosted(spark, sf_dir):
+    """The same for the other two boosted models."""
+    return _roundtrip(spark, sf_dir, ("BoostedTreesWeighted", "BoostedTreesLeafy"))
+
+
 def _some(searches: dict, *names: str) -> dict:
     return {n: searches[n] for n in names}
 
@@ -201,7 +213,7 @@ def _some(searches: dict, *names: str) -> dict:
 def stacking(spark, sf_dir):
     rows = holdout(vectors(spark, sf_dir), "row_key")
     train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
-    model = registry.stacking(registry.shape_of(train, WIDTH), boosting_rounds=BOOSTING_ROUNDS).fit(train)
+    model = registry.stacking(registry.shape_of(train, WIDTH)).fit(train)
     return scoring.score_all({"Stacking": model}, test, ["row_key", "label"])
 
 
@@ -216,13 +228,13 @@ def compare_holdout(spark, sf_dir):
 
 def _compare_cv(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    estimators = _some(registry.models(registry.shape_of(rows, WIDTH)), *UNBOOSTED)
-    return training.compare(rows, estimators, cross_validate=True)
+    shape = registry.shape_of(rows, WIDTH)
+    return training.compare(registry.add_weight(rows, shape), _models(shape), cross_validate=True)
 
 
 @query()
 def compare_cv(spark, sf_dir):
-    """Class reports of all models without boosting on five folds."""
+    """Class reports of all models on five folds."""
     return _compare_cv(spark, sf_dir).reports
 
 
@@ -233,7 +245,7 @@ def timings(spark, sf_dir):
 
 
 def _searches(rows):
-    return _some(registry.tuned_models(registry.shape_of(rows, WIDTH)), "RandomForest", "KNN", "SVM", "GaussianNB", "LogisticRegression", "ANN")
+    return registry.tuned_models(registry.shape_of(rows, WIDTH))
 
 
 @query()
@@ -246,7 +258,7 @@ def grid_search(spark, sf_dir):
 @query()
 def refit_best(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    searches = _some(_searches(rows), "SVM", "LogisticRegression", "ANN")
+    searches = _searches(rows)
     found = tuning.grid_search(rows, searches)
     return tuning.refit_best(rows, found, searches).metrics.select("model", "fold", "accuracy", "mae")
 
@@ -358,20 +370,37 @@ def refit_best_knn(spark, sf_dir):
     return metrics.select("model", "fold", F.round("accuracy", 6).alias("accuracy"))
 
 
+def _held_out_scores(spark, sf_dir, names):
+    rows = holdout(vectors(spark, sf_dir), "row_key")
+    train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
+    shape = registry.shape_of(train, WIDTH)
+    train, models = registry.add_weight(train, shape), _models(shape)
+    return scoring.score_all({n: models[n].fit(train) for n in names}, test, ["row_key", "label"])
+
+
 @query(f"""with h as (select vec_id, cast(label < 3 as double) as label, {sql_hash(42, 'vec_id')} / 4294967296.0::double < 0.2 is_test from embeddings)
 select vec_id as row_key, label, model, true as valid from h
 cross join (values ('RandomForest'), ('BoostedTreesDeep'), ('LogisticL1'), ('ANN'), ('GaussianNB'), ('KNN')) m(model) where is_test""")
 def scores_valid(spark, sf_dir):
     """Every hold-out row has one score per model, within [0, 1], and a class of 0 or 1."""
-    rows = holdout(vectors(spark, sf_dir), "row_key")
-    train, test = rows.where("not is_test").drop("is_test"), rows.where("is_test").drop("is_test")
-    models = _models(registry.shape_of(train, WIDTH))
     names = ("RandomForest", "BoostedTreesDeep", "LogisticL1", "ANN", "GaussianNB", "KNN")
-    scored = scoring.score_all({n: models[n].fit(train) for n in names}, test, ["row_key", "label"])
+    scored = _held_out_scores(spark, sf_dir, names)
     valid = F.col("score").between(0, 1) & F.col("prediction").isin(0, 1)
     return scored.select("row_key", "label", "model", valid.alias("valid"))
 
 
+@query(f"""with h as (select vec_id, cast(label < 3 as double) as label, {sql_hash(42, 'vec_id')} / 4294967296.0::double < 0.2 is_test from embeddings)
+select vec_id as row_key, label, model, true as valid from h
+cross join (values ('BoostedTreesWeighted'), ('BoostedTreesLeafy'), ('SVM')) m(model) where is_test""")
+def scores_valid_others(spark, sf_dir):
+    """The same for the other boosted models; the margin of the SVM has no bounds, its sign is the class."""
+    scored = _held_out_scores(spark, sf_dir, ("BoostedTreesWeighted", "BoostedTreesLeafy", "SVM"))
+    score, cls = F.col("score"), F.col("prediction")
+    margin = (F.abs(score) < float("inf")) & ((score > 0).cast("int") == cls)
+    valid = F.when(F.col("model") == "SVM", margin).otherwise(score.between(0, 1) & cls.isin(0, 1))
+    return scored.select("row_key", "label", "model", valid.alias("valid"))
+
+
 _POINTS_GAMES = ["gp", "pts"]
 _JOINT = " + ".join(
     f"-0.5 * ln(2 * pi() * ({c}_v + eps)) - ({c} - {c}_m) * ({c} - {c}_m) / (2 * ({c}_v + eps))" for c in _POINTS_GAMES)
