@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelrank.llm import contamination, langid, mixing, ngramjoin, quality, repeats, simhash, tokencount, tokenids, urlfilter
+from labelrank.llm import contamination, exactdedup, langid, mixing, ngramjoin, quality, repeats, simhash, tokencount, tokenids, urlfilter
 from labelrank.llm.tables import NO_ID, crc_fold, written
 from labelrank.session import scratch_path
 
@@ -221,3 +221,15 @@ def op10_repeated_strings(spark, sf_dir):
 def op5_ngram_jaccard_join(spark, sf_dir):
     """Classes of documents linked by 3-word runs with a similarity of 0.9 or more."""
     return ngramjoin.classes(table(spark, sf_dir, "documents"), width=3, similarity=Fraction(9, 10))
+
+
+@query(sql="""
+with rows as (select doc_id, coalesce(text, '') t from documents)
+select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 kept, sha256(t) text_sha256
+from rows
+""")
+def op12_exact_dedup(spark, sf_dir):
+    """Every document with the document that stays of those with its text."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return exactdedup.groups(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})

@@ -37,6 +37,19 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def flagged(rows: DataFrame, h: Column, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """``rows`` with ``_hit``: true if the 64-bit hash ``h`` of a row is one of ``keys`` (h), and for few others.
+
+    The keys go out as a bitmap of at most ``words`` 64-bit words (2 MB), so nothing of ``rows`` is shuffled. With
+    very many keys the bitmap fills up and most rows are hits.
+    """
+    word, bit = F.pmod(F.col("h"), F.lit(words)), F.shiftrightunsigned("h", 58).cast("int")
+    bitmap = keys.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_mask"))
+    found = rows.withColumn("_h", h).withColumns({"_w": F.pmod("_h", F.lit(words)), "_b": F.shiftrightunsigned("_h", 58).cast("int")})
+    found = found.join(F.broadcast(bitmap), "_w", "left")
+    return found.withColumn("_hit", F.expr("coalesce(shiftright(_mask, _b) & 1L, 0L) = 1L")).drop("_h", "_w", "_b", "_mask")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node that it can reach.
 
