@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelrank.llm import contamination, exactdedup, langid, mixing, ngramjoin, quality, repeats, simhash, tokencount, tokenids, urlfilter
+from labelrank.llm import contamination, exactdedup, langid, mixing, ngramjoin, quality, repeats, simhash, spelling, tokencount, tokenids, urlfilter
 from labelrank.llm.tables import NO_ID, crc_fold, written
 from labelrank.session import scratch_path
 
@@ -233,3 +233,9 @@ def op12_exact_dedup(spark, sf_dir):
     """Every document with the document that stays of those with its text."""
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return exactdedup.groups(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
+
+
+@query()
+def op11_spelling_variants(spark, sf_dir):
+    """Frequent words with the words one edit away that are much more frequent."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
