@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelrank.llm import contamination, exactdedup, langid, mixing, ngramjoin, quality, repeats, simhash, spelling, tokencount, tokenids, urlfilter
+from labelrank.llm import collocations, contamination, exactdedup, langid, mixing, ngramjoin, quality, repeats, simhash, spelling, tokencount, tokenids, urlfilter
 from labelrank.llm.tables import NO_ID, crc_fold, written
 from labelrank.session import scratch_path
 
@@ -239,3 +239,39 @@ def op12_exact_dedup(spark, sf_dir):
 def op11_spelling_variants(spark, sf_dir):
     """Frequent words with the words one edit away that are much more frequent."""
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query(sql=r"""
+with pieces as (
+  select row_number() over () piece, lang, p
+  from (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents)
+),
+words as (select piece, lang, unnest(w) w, unnest(range(1, len(w) + 1)) i from (select piece, lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces)),
+runs as (
+  select lang, w, lead(w, 1) over (partition by piece order by i) w2, lead(w, 2) over (partition by piece order by i) w3 from words
+),
+f1 as (select lang, w, count(*) n from runs group by all),
+totals as (select lang, sum(n) n from f1 group by lang),
+f2 as (select lang, w, w2, count(*) a from runs where w2 is not null group by all having count(*) >= 10),
+f3 as (select lang, w, w2, w3, count(*) a from runs where w3 is not null group by all having count(*) >= 10),
+cuts as (
+  select f3.lang, f3.w || ' ' || f3.w2 || ' ' || f3.w3 phrase, f3.a, 1 k, f1.n l, f2.a r
+  from f3 join f1 on f1.lang = f3.lang and f1.w = f3.w join f2 on f2.lang = f3.lang and f2.w = f3.w2 and f2.w2 = f3.w3
+  union all
+  select f3.lang, f3.w || ' ' || f3.w2 || ' ' || f3.w3, f3.a, 2, f2.a, f1.n
+  from f3 join f1 on f1.lang = f3.lang and f1.w = f3.w3 join f2 on f2.lang = f3.lang and f2.w = f3.w and f2.w2 = f3.w2
+  union all
+  select f2.lang, f2.w || ' ' || f2.w2, f2.a, 1, x.n, y.n
+  from f2 join f1 x on x.lang = f2.lang and x.w = f2.w join f1 y on y.lang = f2.lang and y.w = f2.w2
+  where not exists (select 1 from f3 where f3.lang = f2.lang and f3.w = f2.w and f3.w2 = f2.w2 and 100 * f3.a >= 50 * f2.a)
+    and not exists (select 1 from f3 where f3.lang = f2.lang and f3.w2 = f2.w and f3.w3 = f2.w2 and 100 * f3.a >= 50 * f2.a)
+),
+scored as (select *, cast((1000000 * a::hugeint * a) // (l::hugeint * r) as bigint) score from cuts),
+least as (select *, row_number() over (partition by lang, phrase order by score, k) o from scored),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from least where o = 1)
+select lang, rank, phrase, a, l, r, cast(totals.n as bigint) n, score from ranked join totals using (lang) where rank <= 2000
+""")
+def op13_phrase_collocations(spark, sf_dir):
+    """The first 2000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -91,13 +91,7 @@ def rows():
     return out
 
 
-@pytest.fixture
-def small(monkeypatch):
-    monkeypatch.setattr(spelling, "PIECE", 50)
-    monkeypatch.setattr(spelling, "HELD_WORDS", 100)
-
-
-def test_variants(spark, rows, small):
+def test_variants(spark, rows):
     docs = spark.createDataFrame([(i, t, 1, "w") for i, t in rows], "doc_id bigint, text string, n int, word string").repartition(4)
     expected = brute(rows)
     assert found(spelling.variants(docs)) == expected
@@ -126,6 +120,13 @@ def test_box_distance():
     assert got == want and len(want) >= 40
 
 
+def test_pieces(monkeypatch):
+    monkeypatch.setattr(spelling, "PIECE", 5)
+    for text in ("", "abc", "abcdefghijkl mn opq r", "ab1cd2ef3", "é" * 30):
+        parts = list(spelling._pieces(text))
+        assert "".join(parts) == text and [w for p in parts for w in RUNS.findall(p)] == RUNS.findall(text)
+
+
 def test_empty(spark):
     assert spelling.variants(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert spelling.variants(spark.createDataFrame([(1, None), (2, "a b c")], "doc_id bigint, text string")).count() == 0
