@@ -58,6 +58,7 @@ def groups(
     key = ["_n", "_p", "_full"]
     held = narrow.where("_full is not null").groupBy(*key).agg(
         F.count(F.lit(1)).alias("_size"), F.max(F.struct("_id", "_row")).alias("_best")).where("_size > 1")
+    held = written(held, "groups")  # read back, so that a hot group can be dealt to several tasks of the join
     out = [F.col(n).alias(c) for n, c in zip(own, carry)]
     joined = narrow.where("_full is not null").join(held, key, "left").select(
         F.col("_id").alias("doc_id"), F.when(F.col("_size") > 1, F.col("_best._id")).otherwise(F.col("_id")).alias("keep_id"),
