@@ -29,7 +29,7 @@ from labelrank.llm.tables import written
 from labelrank.llm.textops import text_array
 
 #: Words with an id of their own, over all languages; at most 2**20.
-HEAD = 1 << 18
+HEAD = 1 << 17
 #: Pairs of such words with a rank.
 PAIRS = 1 << 20
 #: Ids of a tile's side, and tiles on a side of the corner that may be dense.
@@ -37,9 +37,9 @@ TILE, EDGE = 1 << 10, 16
 #: A tile is dense if it has a pair for so many cells.
 SPARSE = 64
 #: Bytes that become words at once, and pairs that a task holds before it counts them.
-CHUNK, BLOCK = 1 << 22, 1 << 21
+CHUNK, BLOCK = 1 << 20, 1 << 20
 #: Words that are not in the dictionary and are held with a number of their own, and words that are counted at once.
-OTHERS, COUNTED = 200_000, 300_000
+OTHERS, COUNTED = 60_000, 120_000
 #: Bits of a bitmap: the largest prime below 2**24.
 BITS = 16_777_213
 
@@ -51,12 +51,15 @@ _CLASSES = bytes(255 if i in b".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <= i < 91 e
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, Iterator[list[bytes]]]]:
     """(language, lists of words) of a batch (lang, text); gaps between pieces and between documents are words, too."""
-    langs = batch.column(0).to_pylist()
     per: dict[str, list[bytes]] = {}
-    for lang, text in zip(langs, text_array(batch, "text").to_pylist()):
-        per.setdefault(lang, []).append(text.encode().translate(_CLASSES))
-    for lang, texts in per.items():
-        yield lang, _split(_GAP.join(texts))
+    size = 0
+    for lang, text in zip(batch.column(0), text_array(batch, "text")):
+        per.setdefault(lang.as_py(), []).append(text.as_buffer().to_pybytes().translate(_CLASSES))
+        size += len(text.as_buffer())
+        if size > 4 * CHUNK:
+            yield from ((lang, _split(_GAP.join(texts))) for lang, texts in per.items())
+            per, size = {}, 0
+    yield from ((lang, _split(_GAP.join(texts))) for lang, texts in per.items())
 
 
 def _split(data: bytes) -> Iterator[list[bytes]]:
