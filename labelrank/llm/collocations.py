@@ -336,7 +336,8 @@ def collocations(
     behind = coded.where(F.col("a") < border)
     code = F.shiftright("code", _SHIFT) * 1_000_003 + F.col("code").bitwiseAND(F.lit(_MASK))
     known.rank_pairs(coded.where(F.col("a") >= border).select("code", "a").toArrow(), _bitmap(behind.select((code % BITS).alias("p"))) if behind.limit(1).count() else None)
-    three = written(_named(_phrase_counts(rows, known, 3).where(F.col("a") >= min_count), head, 3), "triples")
+    counted = written(_phrase_counts(rows, known, 3).where(F.col("a") >= min_count), "triples")  # read by two branches
+    three = written(_named(counted, head, 3), "named-triples")
     pairs = written(_named(two, head, 2), "named-pairs")
 
     part = _join(_join(three, words, {"w1": "word"}, "n", "l1"), pairs, {"w2": "w1", "w3": "w2"}, "a", "r1")
