@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from labelrank.llm.tables import written
-from labelrank.llm.textops import text_array
+from labelrank.llm.textops import lean, text_array
 
 #: Words with an id of their own, over all languages; at most 2**20.
 HEAD = 1 << 17
@@ -100,7 +100,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                         yield done()
         yield done()
 
-    return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(run), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _border(df: DataFrame, count: str, most: int) -> int:
@@ -276,7 +276,7 @@ def _phrase_counts(rows: DataFrame, known: _Known, size: int) -> DataFrame:
                         yield from count.done()
         yield from count.done()
 
-    found = rows.mapInArrow(run, "code bigint, lang string, phrase string, a bigint")
+    found = rows.mapInArrow(lean(run), "code bigint, lang string, phrase string, a bigint")
     return found.groupBy("code", "lang", "phrase").agg(F.sum("a").alias("a"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelrank.llm.tables import ARROW
-from labelrank.llm.textops import LOWER, shingle_runs, slices, text_array
+from labelrank.llm.textops import LOWER, lean, shingle_runs, slices, text_array
 
 #: Marks become blanks, capitals small letters.
 _PLAIN = LOWER.copy()
@@ -120,7 +120,7 @@ def contained_items(
                     "item_runs": pa.array(n, pa.int64()), "shared_runs": pa.array([s for _, _, s in hits], pa.int64()),
                     "containment": pa.array([s / k for (_, _, s), k in zip(hits, n)], pa.float64())})
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(lean(run), schema)
 
     found = [scan(b) for b in _item_blocks(items, item_id, item_text, width, share, block_bytes)]
     out = found[0]
@@ -145,5 +145,5 @@ def decontaminate(
                     bad[row] = True
                 yield batch.filter(pa.array(~bad)) if bad.any() else batch
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(lean(run), schema)
     return docs

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelrank.llm.prefixtree import linked
 from labelrank.llm.tables import NO_ID, components, written
-from labelrank.llm.textops import mix, shingles, slices, text_array
+from labelrank.llm.textops import lean, mix, shingles, slices, text_array
 
 #: Runs in a block of a large group, and in a group that stays whole.
 BLOCK = 100_000
@@ -69,7 +69,7 @@ def _sets(docs: DataFrame, width: int, similarity: Fraction, sampled: float) ->
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sig, pa.int64()), pa.array(size, pa.int64()),
                      pa.array(low, pa.int64()), lists], ["_k", "_t", "s", "n", "low", "runs"])
 
-    return docs.mapInArrow(run, "_k bigint, _t bigint, s bigint, n bigint, low bigint, runs array<bigint>")
+    return docs.mapInArrow(lean(run), "_k bigint, _t bigint, s bigint, n bigint, low bigint, runs array<bigint>")
 
 
 def _candidates(sets: DataFrame, nodes: DataFrame, similarity: Fraction, sampled: float) -> DataFrame:
@@ -156,7 +156,7 @@ def _links(rows: DataFrame, similarity: Fraction) -> DataFrame:
             yield done()
 
     dealt = rows.select("tile", "side", "s", "runs").repartition("tile").sortWithinPartitions("tile", "side", "s")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
     copies = Window.partitionBy("_k", "_t").orderBy("_k")
     one = _marked(docs, members).where("_hit").join(members, ["_k", "_t"]).withColumn("_n", F.row_number().over(copies)).where("_n = 1")
-    return one.select("s", "comp", "large", "text").mapInArrow(run, "s bigint, comp bigint, large boolean, runs array<bigint>")
+    return one.select("s", "comp", "large", "text").mapInArrow(lean(run), "s bigint, comp bigint, large boolean, runs array<bigint>")
 
 
 def _labels(docs: DataFrame, doc_id: str, text: str, width: int, similarity: Fraction, sampled: float | None) -> DataFrame:

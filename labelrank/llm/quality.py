@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelrank.llm.textops import LOWER, SPACE, prefix_hash, range_hash, slices, words
+from labelrank.llm.textops import LOWER, SPACE, lean, prefix_hash, range_hash, slices, words
 
 #: The statistics, in the order of the columns.
 STATISTICS = (
@@ -170,7 +170,7 @@ def statistics(docs: DataFrame, text: str = "text", out: str = "statistics") ->
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(STATISTICS), pa.int32()), pa.array(x.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
 
-    return rows.mapInArrow(run, f"{fields}{', ' if fields else ''}`{out}` array<double>")
+    return rows.mapInArrow(lean(run), f"{fields}{', ' if fields else ''}`{out}` array<double>")
 
 
 def fit(stats: DataFrame, label: str = "label", order: str = "doc_id", max_rows: int = 20_000, **settings) -> Forest:
@@ -202,7 +202,7 @@ def score(stats: DataFrame, forest: Forest, out: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*keep, out])
 
-    return rows.mapInArrow(run, f"{fields}{', ' if fields else ''}`{out}` double")
+    return rows.mapInArrow(lean(run), f"{fields}{', ' if fields else ''}`{out}` double")
 
 
 def keep(docs: DataFrame, forest: Forest, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -215,4 +215,4 @@ def keep(docs: DataFrame, forest: Forest, threshold: float = 0.3, text: str = "t
             parts = [held.value.score(x[i : i + 2048]) >= threshold for i in range(0, len(x), 2048)]
             yield batch.filter(pa.array(np.concatenate(parts))) if parts else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

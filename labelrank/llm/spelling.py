@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelrank.llm.tables import written
-from labelrank.llm.textops import LOWER, text_array
+from labelrank.llm.textops import LOWER, lean, text_array
 
 #: Words of a cell about, and words of a leaf of the tree in it.
 CELL = 4096
@@ -94,7 +94,7 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             yield done()
 
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +299,7 @@ def _dealt(vocabulary: DataFrame, trees: dict[int, Cells]) -> DataFrame:
                             [pa.array(np.full(len(rows), size), pa.int64()), pa.array(leaf, pa.int64()), pa.array(np.full(len(rows), role), pa.int32()),
                              batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["length", "leaf", "role", "word", "n"])
 
-    return vocabulary.select("word", "n", "length").mapInArrow(run, "length bigint, leaf bigint, role int, word string, n bigint")
+    return vocabulary.select("word", "n", "length").mapInArrow(lean(run), "length bigint, leaf bigint, role int, word string, n bigint")
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
         yield from done()
 
     dealt = _dealt(sized, _trees(sized)).repartition("length", "leaf").sortWithinPartitions("length", "leaf", "role")
-    return dealt.mapInArrow(run, "word string, near string, near_n bigint")
+    return dealt.mapInArrow(lean(run), "word string, near string, near_n bigint")
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ and shingles of many short documents cost a few array operations, and a long doc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +39,45 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
 
 class _Powers:
-    """Powers of a number modulo 2**64, grown as longer slices come."""
+    """Powers of a number modulo 2**64: those of an ordinary slice are kept, those of a longer text are not."""
 
     def __init__(self, base: np.uint64):
         self.base, self.all = base, np.ones(1, np.uint64)
 
+    def _first(self, n: int) -> np.ndarray:
+        steps = np.full(n, self.base, np.uint64)
+        steps[:1] = 1
+        return np.cumprod(steps, out=steps)
+
     def upto(self, n: int) -> np.ndarray:
+        if n > SLICE_BYTES + 1:
+            return self._first(n)
         if len(self.all) < n:
-            steps = np.full(max(n, SLICE_BYTES * 2), self.base, np.uint64)
-            steps[0] = 1
-            self.all = np.cumprod(steps)
+            self.all = self._first(SLICE_BYTES + 1)
         return self.all[:n]
 
 
 _UP, _DOWN = _Powers(_BASE), _Powers(_BASE_INVERSE)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task function ``run``, which at its end gives freed memory back to the system.
+
+    Workers live on for the tasks of later stages; without this, what one stage has freed stays with its worker,
+    beside the memory that the next stage takes in the executor.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return task
+
+
 def text_array(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column with null as the empty text."""
     col = batch.column(batch.schema.get_field_index(name))

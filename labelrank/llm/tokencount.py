@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelrank.llm.textops import text_array
+from labelrank.llm.textops import lean, text_array
 
 _cut = re.compile(" +[^ \n]*|\n|[^ \n]+").findall
-#: Misses that a worker keeps before it starts afresh.
-CACHE = 250_000
+#: Misses that a task keeps before it starts afresh, and their characters.
+CACHE, CACHE_CHARS = 250_000, 1 << 24
 _workers: dict[str, object] = {}
 
 
@@ -66,7 +66,7 @@ class _Lookup:
 
     def __init__(self, path: str, frequent: tuple[bytes, np.ndarray]):
         names, lengths = frequent
-        self.path, self.own = path, {}
+        self.path, self.chars = path, 0
         self.frequent = dict(zip(names.decode().split("\0"), lengths.tolist())) if len(lengths) else {}
         self.known = dict(self.frequent)
 
@@ -78,10 +78,11 @@ class _Lookup:
                 out.append(sum(map(self.known.__getitem__, parts)))
             except KeyError:
                 missing = [p for p in dict.fromkeys(parts) if p not in self.known]
-                if len(self.known) + len(missing) > len(self.frequent) + CACHE:
-                    self.known = dict(self.frequent)
+                if len(self.known) + len(missing) > len(self.frequent) + CACHE or self.chars > CACHE_CHARS:
+                    self.known, self.chars = dict(self.frequent), 0
                     missing = [p for p in dict.fromkeys(parts) if p not in self.known]
                 self.known.update(zip(missing, _lengths(self.path, missing)))
+                self.chars += sum(map(len, missing))
                 out.append(sum(map(self.known.__getitem__, parts)))
         return out
 
@@ -102,7 +103,7 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int =
         top = [(p, n) for p, n in seen.most_common(per_task) if "\0" not in p and len(p) <= 64]
         yield pa.RecordBatch.from_pydict({"p": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    found = docs.select(F.col(text).alias("t")).mapInArrow(summary, "p string, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text).alias("t")).mapInArrow(lean(summary), "p string, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
     parts = [r["p"] for r in found.orderBy(F.desc("n"), "p").limit(size).collect()]
     return "\0".join(parts).encode(), np.array(_lengths(path, parts), np.uint16)
 
@@ -132,4 +133,4 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("b"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

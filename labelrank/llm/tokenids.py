@@ -9,6 +9,7 @@ ids before it within its part; the parts' totals (one number per part) give the
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,20 +19,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelrank.llm.tables import ARROW
-from labelrank.llm.textops import text_array
+from labelrank.llm.textops import lean, text_array
 from labelrank.llm.wavelet import WaveletMatrix
 
-#: Chunks of a text that a worker keeps encoded before it starts afresh.
-CACHE = 600_000
+#: Bytes of encoded chunks that a task keeps before it starts afresh, and what an entry takes beside its key and ids.
+CACHE_BYTES, ENTRY = 96 << 20, 150
 _workers: dict[str, _Encoder] = {}
 
+# How a tokenizer file states that it lower-cases and splits words from marks.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 
 class _Encoder:
     """Ids of whole texts by the library, with a cache of chunks between ASCII white space.
 
-    That is exact if the pre-tokenizer drops white space and neither it nor the normalizer looks across it.
-    Then a chunk of Latin letters goes straight to the library's BPE model, marks behind it by themselves;
-    every other chunk, and any with special strings in it, is encoded by the whole library.
+    That is exact for one form of file, which is recognized by its normalizer and pre-tokenizer: lower case, white
+    space dropped, words and marks apart. Then a chunk of Latin letters goes straight to the library's BPE model,
+    marks behind it by themselves; every other chunk, and any with special strings in it, is encoded by the whole
+    library. With any other file each text is encoded whole.
     """
 
     #: Letters, then marks without the apostrophe (contractions) and brackets (special strings).
@@ -43,12 +51,22 @@ class _Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.forget()
+        with open(path, encoding="utf-8") as f:
+            written = json.load(f)
+        added = [t["content"] for t in written.get("added_tokens") or []]
+        known = written.get("normalizer") == NORMALIZER and written.get("pre_tokenizer") == PRE_TOKENIZER
+        known = known and all(t.startswith("<") and not set(t) & set(" \t\n\r\x0b\x0c") for t in added)
+        known = known and (written.get("post_processor"), written["model"].get("type"), written["model"].get("dropout")) == (None, "BPE", None)
+        probe = ("hello", "über", "straße", "!!", "...", "$%&", "a,b", "Añb", "ß.", "Z9")
+        self.by_model = known and all(self._chunk(p.lower()) == self._whole(p) for p in probe)
+        self.by_chunk = self.by_model
+
+    def forget(self) -> None:
+        """Empty the caches; the library stays."""
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
-        sample = "Añb, cd!!  x\ty\nß.\x0b\x0cZ9"
-        self.by_chunk = self._whole(sample) == b"".join(map(self._whole, sample.split()))
-        probe = ("hello", "über", "straße", "!!", "...", "$%&", "a,b")
-        self.by_model = self.by_chunk and all(self._chunk(p) == self._whole(p) for p in probe)
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -59,7 +77,11 @@ class _Encoder:
     def _part(self, word: str) -> bytes:
         if word not in self.letters:
             found = self.library.model.tokenize(self._bytes_as_letters(word)) if word else []
-            self.letters[word] = np.array([t.id for t in found], np.uint32).tobytes()
+            ids = np.array([t.id for t in found], np.uint32).tobytes()
+            if self.held > CACHE_BYTES:
+                return ids
+            self.letters[word] = ids
+            self.held += len(word) + len(ids) + ENTRY
         return self.letters[word]
 
     def _chunk(self, chunk: str) -> bytes:
@@ -75,12 +97,18 @@ class _Encoder:
         try:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            missing = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            if len(self.known) + len(missing) > CACHE:
-                self.known, self.letters, missing = {}, {}, list(dict.fromkeys(chunks))
-            one = self._chunk if self.by_model else self._whole
-            self.known.update((c, one(c.decode())) for c in missing)
-            return b"".join(map(self.known.__getitem__, chunks))
+            if self.held > CACHE_BYTES:
+                self.forget()
+            one, out = self._chunk if self.by_model else self._whole, []
+            for c in chunks:
+                ids = self.known.get(c)
+                if ids is None:
+                    ids = one(c.decode())
+                    if self.held <= CACHE_BYTES:  # one text may hold more than the cache takes
+                        self.known[c] = ids
+                        self.held += len(c) + len(ids) + ENTRY
+                out.append(ids)
+            return b"".join(out)
 
 
 def _printed() -> dict[int, str]:
@@ -131,23 +159,26 @@ def write_shards(
             before, held, seq, ids, pieces = before + len(tokens), 0, seq + 1, [], []
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column(2)[0].as_py()
-            for doc, t in zip(batch.column(0).to_pylist(), text_array(batch, "t").to_pylist()):
-                piece = encoder.encode(t) + end
-                if ids and held + len(piece) // 4 > shard_tokens:
-                    yield shard()
-                ids.append(doc)
-                pieces.append(piece)
-                held += len(piece) // 4
-        if ids:
-            yield shard()
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    part = batch.column(2)[0].as_py()
+                for doc, t in zip(batch.column(0).to_pylist(), text_array(batch, "t")):
+                    piece = encoder.encode(t.as_py()) + end
+                    if ids and held + len(piece) // 4 > shard_tokens:
+                        yield shard()
+                    ids.append(doc)
+                    pieces.append(piece)
+                    held += len(piece) // 4
+            if ids:
+                yield shard()
+        finally:
+            encoder.forget()
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     # Spark samples the sort keys to deal the ranges; only they are read for that, texts break ties within a range.
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "t").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(run, SHARD.format(kind=kind)).write.option("compression", "uncompressed").parquet(folder)
+    ordered.mapInArrow(lean(run), SHARD.format(kind=kind)).write.option("compression", "uncompressed").parquet(folder)
 
 
 def part_starts(spark: SparkSession, folder: str) -> dict[int, int]:
@@ -179,4 +210,4 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("part", "before", "doc_ids", "lengths", "matrix").mapInArrow(
-        run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+        lean(run), f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
