@@ -191,11 +191,7 @@ def op9_simhash_fingerprints(spark, sf_dir):
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     edited = simhash.edits(docs)
-    both = edited.select("_k", "_h", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("v"))
-    prints = simhash.fingerprints(both.select("_k", "_h", F.col("v.which").alias("which"), F.col("v.body").alias("body")), ["_k", "_h", "which"], "body")
-    paired = prints.groupBy("_k", "_h").agg(
-        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edit"))
+    paired = simhash.edit_fingerprints(edited)
     facts = edited.select("_k", "_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "prev_k", "prev_h")
     rows = written(facts.join(paired, ["_k", "_h"]), "fingerprints")
     nexts = rows.select(F.col("prev_k").alias("_k"), F.col("prev_h").alias("_h"), F.col("own").alias("next")).distinct()
