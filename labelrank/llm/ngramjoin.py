@@ -236,9 +236,10 @@ def classes(
     its class has the smallest id of the others, or null. ``sampled`` is the part of the hash space whose runs
     are counted; it changes the work, not the result.
     """
-    labelled = _labels(docs, doc_id, text, width, similarity, sampled)
+    labelled = written(_labels(docs, doc_id, text, width, similarity, sampled), "labels")
     ids = F.when(F.col("_k") != NO_ID, F.col("_k"))
     lowest = labelled.where("label is not null").groupBy("label").agg(F.min(ids).alias("lowest")).select(F.col("label").alias("_label"), "lowest")
+    lowest = written(lowest, "lowest")  # read back, so that a hot class can be dealt to several tasks of the join
     joined = labelled.join(lowest, labelled.label == lowest._label, "left")
     return joined.select(ids.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), ids).otherwise(F.col("lowest")).alias("component_id"))
 

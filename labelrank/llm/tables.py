@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -50,26 +52,43 @@ def flagged(rows: DataFrame, h: Column, keys: DataFrame, words: int = 1 << 18) -
     return found.withColumn("_hit", F.expr("coalesce(shiftright(_mask, _b) & 1L, 0L) = 1L")).drop("_h", "_w", "_b", "_mask")
 
 
+def _to_roots(up: DataFrame) -> DataFrame:
+    """(node, root) for pointers (node, root) to smaller nodes: where each chain ends. Chains halve with every round."""
+    ended = []
+    live = up
+    while True:
+        to = up.select(F.col("node").alias("_at"), F.col("root").alias("_up"))
+        moved = live.join(to, F.col("root") == F.col("_at")).select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("far")).checkpoint()
+        ended.append(moved.where("not far").select("node", "root"))
+        live = moved.where("far").select("node", "root")
+        if not live.limit(1).count():
+            break
+        up = reduce(DataFrame.union, [*ended, live])
+    return reduce(DataFrame.union, ended)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node that it can reach.
 
-    Each round every node takes the smallest label among itself and its neighbours, and then the label of
-    that label, so long chains shorten by more than half a round. Labels are checkpointed each round. Both
-    sides are tables of links and nodes; a hot node is only a hot key of a partial aggregate.
+    Each round every node points to its smallest neighbour if that is smaller, the chains of pointers are followed
+    to their ends, and the links are rewritten to these ends; those within one end and repeated ones go. At least
+    half of the nodes go with each round, so all rounds together cost little more than the first. Everything is
+    checkpointed. Both sides of a join are tables of links and nodes; a hot node is only a hot key of a partial
+    aggregate.
     """
-    spark = links.sparkSession
-    ensure_checkpoint_dir(spark)
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.where("a <> b").distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).checkpoint()
+    ensure_checkpoint_dir(links.sparkSession)
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    found = None
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        )
-        closer = labels.join(near, labels.node == near.a).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        up = labels.select(F.col("node").alias("_at"), F.col("root").alias("_up"))
-        jumped = closer.join(up, closer.root == up._at).select(
-            "node", F.least("root", "_up").alias("root"), "was").checkpoint()
-        labels = jumped.select("node", "root")
-        if not jumped.where("root <> was").limit(1).count():
-            return labels
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = _to_roots(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).checkpoint())
+        ends = ends.select(F.col("node").alias("_at"), F.col("root").alias("_end")).checkpoint()
+        if found is None:
+            found = ends.select(F.col("_at").alias("node"), F.col("_end").alias("root"))
+        else:
+            found = found.join(ends, F.col("root") == F.col("_at"), "left").select("node", F.coalesce("_end", "root").alias("root")).checkpoint()
+        left = edges.join(ends, F.col("a") == F.col("_at")).select(F.col("_end").alias("x"), "b")
+        left = left.join(ends, F.col("b") == F.col("_at")).select("x", F.col("_end").alias("y")).where("x <> y")
+        edges = left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().checkpoint()
+        if not edges.limit(1).count():
+            return found
