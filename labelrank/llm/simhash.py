@@ -80,7 +80,8 @@ def edit_fingerprints(edited: DataFrame, width: int = 5) -> DataFrame:
     kept = F.col("_kept")
     words, start, tail = _words(F.col("text")), _words(kept), F.regexp_extract(kept, r"[^\x20\x09-\x0D]*$", 0)
     whole = F.size("_start") - F.when(F.col("_tail") != "", 1).otherwise(0)  # words of the text that the edit surely leaves
-    rows = edited.where("_copy = 1").select("_k", "_h", "_head", words.alias("_all"), start.alias("_start"), tail.alias("_tail"))
+    # a filter on the number itself would go below the exchange of texts, which then served this reader only
+    rows = edited.withColumn("text", F.when(F.col("_copy") == 1, F.col("text"))).where("text is not null").select("_k", "_h", "_head", words.alias("_all"), start.alias("_start"), tail.alias("_tail"))
     rows = rows.select("_k", "_h", "_all", whole.alias("_m"), _words(F.concat("_tail", "_head")).alias("_new"))
     shared = F.greatest(F.lit(0), F.col("_m") - (width - 1))
     rows = rows.withColumn("_s", shared)
