@@ -56,14 +56,16 @@ class Settings:
     seed: int
 
     def pull(self, g: np.ndarray) -> np.ndarray:
-        return np.sign(g) * np.maximum(np.abs(g) - self.l1, 0)
+        return np.sign(g) * np.maximum(np.abs(g) - self.l1, 0) if self.l1 else g
 
     def worth(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """How much lower the loss gets with the best value for rows of these sums."""
         return self.pull(g) ** 2 / np.maximum(h + self.l2, 1e-300)
 
-    def value(self, g: float, h: float) -> float:
-        return float(-self.rate * self.pull(np.float64(g)) / (h + self.l2)) if h + self.l2 > 0 else 0.0
+    def values(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """What nodes of these sums add to the score; nothing where there are no hessians at all."""
+        under = h + self.l2
+        return np.where(under > 0, -self.rate * self.pull(g) / np.where(under > 0, under, 1), 0.0)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -140,7 +142,8 @@ class Trainer:
         root = self.histogram(rows, np.zeros(self.n, np.int64), 1)
         tree = _Tree(root[0, 0].sum(axis=0))
         leaf = (self._best_leaf if s.grow == "leaf" else self._by_level)(tree, root)
-        values = np.array([s.value(g / self.step, h / self.step) for g, h, _ in tree.sums])
+        sums = np.array(tree.sums) / self.step
+        values = s.values(sums[:, 0], sums[:, 1])
         self.raw += values[leaf]
         tree.values = values
         return tree, leaf

@@ -6,12 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from labelrank.operators.bayes import GaussianNaiveBayes
+from labelrank.operators.boosting import HistogramBoosting
 from labelrank.operators.neighbors import NearestNeighbors
 from labelrank.plans.stacking import Stacking
 
@@ -54,11 +55,13 @@ def models(
     return {
         "RandomForest": RandomForestClassifier(
             maxDepth=10, numTrees=1000, minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=SEED),
-        "BoostedTreesWeighted": GBTClassifier(
-            maxDepth=10, maxIter=boosting_rounds or 1000, stepSize=0.1, subsamplingRate=0.9, minInfoGain=0.2, seed=SEED, **balanced),
-        "BoostedTreesDeep": GBTClassifier(maxDepth=8, maxIter=boosting_rounds or 500, stepSize=0.1, seed=SEED),
-        "BoostedTreesLeafy": GBTClassifier(
-            maxDepth=10, maxIter=boosting_rounds or 200, stepSize=0.1, minInstancesPerNode=20, seed=SEED),
+        "BoostedTreesWeighted": HistogramBoosting(
+            maxDepth=10, maxIter=boosting_rounds or 1000, stepSize=0.1, minGain=0.2, subsamplingRate=0.9, columnRate=0.9, l1=0.5, l2=1.5,
+            minHessian=1.0, seed=SEED, **balanced),
+        "BoostedTreesDeep": HistogramBoosting(grow="level", maxDepth=8, maxIter=boosting_rounds or 500, stepSize=0.1, l2=5.0, seed=SEED),
+        "BoostedTreesLeafy": HistogramBoosting(
+            grow="leaf", maxLeaves=31, maxDepth=10, maxIter=boosting_rounds or 200, stepSize=0.1, l1=0.0, l2=0.0, minHessian=0.001,
+            minInstancesPerNode=20, seed=SEED),
         "KNN": NearestNeighbors(k=3, p=3.0, weights="distance", keyCol=key),
         "SVM": LinearSVC(regParam=shape.reg(1.0), maxIter=100, standardization=False),
         "LogisticL1": LogisticRegression(
@@ -82,15 +85,15 @@ def tuned_models(
     """Default models, each with the grid of settings to search; ``boosting_rounds`` as for ``models``."""
     # Grids and layer sizes. Depth 30 is Spark's limit and stands for an unlimited one.
     forest = RandomForestClassifier(numTrees=100, maxDepth=30, seed=SEED)
-    boost_a = GBTClassifier(maxDepth=6, maxIter=boosting_rounds or 100, stepSize=0.3, seed=SEED)
-    boost_b = GBTClassifier(maxDepth=6, maxIter=boosting_rounds or 1000, stepSize=0.03, seed=SEED + 1)
+    boost_a = HistogramBoosting(maxDepth=6, maxIter=boosting_rounds or 100, stepSize=0.3, l2=1.0, minHessian=1.0, seed=SEED)
+    boost_b = HistogramBoosting(grow="level", maxDepth=6, maxIter=boosting_rounds or 1000, stepSize=0.03, l2=3.0, seed=SEED + 1)
     knn = NearestNeighbors(k=5, p=2.0, weights="uniform", keyCol=key)
     svm = LinearSVC(regParam=shape.reg(1.0), maxIter=100, standardization=False)
     logistic = LogisticRegression(regParam=shape.reg(1.0), maxIter=100, standardization=False)
     layers = [shape.features, 128, 64, 64, 32, 64, 32, 16, 2]
     ann = MultilayerPerceptronClassifier(layers=layers, seed=SEED)
 
-    def boost_grid(model: GBTClassifier) -> list:
+    def boost_grid(model: HistogramBoosting) -> list:
         return (
             ParamGridBuilder().addGrid(model.maxIter, [50, 100, 200])
             .addGrid(model.stepSize, [0.01, 0.1, 0.2]).build()

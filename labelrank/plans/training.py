@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from labelrank.functions.columns import above, integer_label
 from labelrank.operators import evaluate
 from labelrank.operators.split import holdout, kfold, stratified_holdout, stratified_kfold
-from labelrank.session import discard, ensure_checkpoint_dir, staged
+from labelrank.session import at_once, discard, ensure_checkpoint_dir, staged
 from labelrank.sources.tables import save_model, write_reports, write_table
 
 _COUNTS = "model string, fold int, label int, prediction int, n bigint"
@@ -68,13 +68,14 @@ def fit_and_count(estimator: Estimator, train: DataFrame, test: DataFrame):
 def compare(
     table: DataFrame, estimators: dict[str, Estimator], key: str = "row_key", label: str = "label",
     cross_validate: bool = False, k: int = 5, stratify: bool = False, test_size: float = 0.2, seed: int = 42,
-    zero_division: float = 0.0, save_to: str | None = None, final_fit: bool = False,
+    zero_division: float = 0.0, save_to: str | None = None, final_fit: bool = False, parallelism: int = 1,
 ) -> Comparison:
     """Compare models on (key, label, features): hold-out, or k folds with ``cross_validate``.
 
     Every fold gets a fresh copy of the estimator. Boosting cuts its lineage at checkpoints, for which the
     session gets a checkpoint folder if it has none. ``final_fit`` also fits each model on all rows;
-    ``save_to`` saves the final (or hold-out) models under this folder.
+    ``save_to`` saves the final (or hold-out) models under this folder. With ``parallelism`` above 1 so many fits
+    run at the same time, each with fewer cores: the times are then those of a busy cluster.
     """
     spark = table.sparkSession
     ensure_checkpoint_dir(spark)
@@ -94,16 +95,20 @@ def compare(
     split = staged(split, "split")  # stored before the first fit, so that no model's time contains the split
     counts, times, models = [], [], {}
     try:
-        for name, estimator in estimators.items():
-            for fold, is_test in parts:
-                train, test = split.where(~is_test).drop("_part"), split.where(is_test).drop("_part")
-                model, train_time, prediction_time, seen = fit_and_count(estimator.copy(), train, test)
-                times.append((name, fold, train_time, prediction_time, cross_validate))
-                counts += [(name, fold, r["label"], r["prediction"], r["n"]) for r in seen]
-            if final_fit:
-                model = estimator.copy().fit(split.drop("_part"))
+        def one(estimator: Estimator, is_test) -> tuple:
+            return fit_and_count(estimator.copy(), split.where(~is_test).drop("_part"), split.where(is_test).drop("_part"))
+
+        runs = [(name, fold, is_test) for name in estimators for fold, is_test in parts]
+        done = at_once(spark, [lambda n=name, t=is_test: one(estimators[n], t) for name, _, is_test in runs], parallelism)
+        for (name, fold, _), (model, train_time, prediction_time, seen) in zip(runs, done):
+            times.append((name, fold, train_time, prediction_time, cross_validate))
+            counts += [(name, fold, r["label"], r["prediction"], r["n"]) for r in seen]
             models[name] = model
-            if save_to:
+        if final_fit:
+            whole = split.drop("_part")
+            models = dict(zip(estimators, at_once(spark, [lambda e=e: e.copy().fit(whole) for e in estimators.values()], parallelism)))
+        if save_to:
+            for name, model in models.items():
                 save_model(PipelineModel([model]), save_to, name)
     finally:
         discard(split)

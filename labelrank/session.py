@@ -5,7 +5,10 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 SMALL_ROWS = 100_000
@@ -95,3 +98,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def at_once(spark: SparkSession, actions: Sequence[Callable[[], object]], parallelism: int) -> list:
+    """Results of all actions, in their order; up to ``parallelism`` of them run at the same time.
+
+    For actions that each start Spark jobs too small to fill the cluster. The first failure is raised.
+    """
+    if parallelism <= 1:
+        return [action() for action in actions]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(action)) for action in actions]]
