@@ -15,7 +15,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_every_dealt_query_is_there():
-    assert {int(q[2:].split("_")[0]) for q in queries() if q.startswith("op") and q[2].isdigit()} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in queries() if q.startswith("op") and q[2].isdigit()} == set(range(1, 14))
     assert "pipeline" in queries()
 
 
