@@ -80,8 +80,8 @@ def edit_fingerprints(edited: DataFrame, width: int = 5) -> DataFrame:
     kept = F.col("_kept")
     words, start, tail = _words(F.col("text")), _words(kept), F.regexp_extract(kept, r"[^\x20\x09-\x0D]*$", 0)
     whole = F.size("_start") - F.when(F.col("_tail") != "", 1).otherwise(0)  # words of the text that the edit surely leaves
-    # a filter on the number itself would go below the exchange of texts, which then served this reader only
-    rows = edited.withColumn("text", F.when(F.col("_copy") == 1, F.col("text"))).where("text is not null").select("_k", "_h", "_head", words.alias("_all"), start.alias("_start"), tail.alias("_tail"))
+    # copies once; a plain comparison would go below the exchange of texts, which then served this reader only
+    rows = edited.where(f"pmod(_copy, {2**31 - 1}) = 1").select("_k", "_h", "_head", words.alias("_all"), start.alias("_start"), tail.alias("_tail"))
     rows = rows.select("_k", "_h", "_all", whole.alias("_m"), _words(F.concat("_tail", "_head")).alias("_new"))
     shared = F.greatest(F.lit(0), F.col("_m") - (width - 1))
     rows = rows.withColumn("_s", shared)
@@ -165,8 +165,8 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: int
     rows = rows.withColumn("_h", F.xxhash64("text"))
     order = with_next(rows, doc_id, F.length("text").cast("bigint"))
     copy = Window.partitionBy("_k", "_h").orderBy("_k")
-    held = rows.withColumn("_copy", F.row_number().over(copy)).join(order, ["_k", "_h"])
-    # both readers of ``held`` take the same columns of its texts, so that one exchange serves them
+    # all readers need the number of a copy and the same columns, so that one exchange of texts serves them
+    held = rows.withColumn("_copy", F.row_number().over(copy)).where("_copy >= 1").join(order, ["_k", "_h"])
     heads = held.select(
         F.col("prev_k").alias("_k"), F.col("prev_h").alias("_h"),
         F.when(F.col("_copy") == 1, F.expr(f"left(text, int(floor(prev_size / {part})))")).alias("_head")).where("_head is not null")
