@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelrank.functions.columns import keep_columns, nan_to_null, numeric_columns, string_columns
 from labelrank.functions.hashing import hash_uniforms
 from labelrank.operators import stats
+from labelrank.operators.forest import HistogramForest
 from labelrank.operators.ordering import sorted_positions
 from labelrank.session import SMALL_ROWS, small_rows, small_side, staged
 
@@ -238,17 +238,16 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def feature_importances(
-    df: DataFrame, cols: Sequence[str], label: str, num_trees: int = 1000, max_depth: int = 30, seed: int = 42,
-    max_bins: int = 32,
+    df: DataFrame, cols: Sequence[str], label: str, num_trees: int = 1000, max_depth: int = 0, seed: int = 42,
+    max_bins: int = 255,
 ) -> dict[str, float]:
-    """Importance of each column in a random forest that predicts the label; they add up to 1."""
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, seed=seed,
-        featureSubsetStrategy="sqrt", maxBins=max_bins,
-    )
+    """Importance of each column in a random forest that predicts the 0/1 label; they add up to 1.
+
+    The trees grow without a depth limit unless ``max_depth`` sets one. If no tree can split, all are 0.
+    """
+    forest = HistogramForest(numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins)
     table = assemble(df.select(*cols, F.col(label).cast("double").alias("label")), cols)
-    found = forest.fit(table.select("features", "label")).featureImportances.toArray()
-    return dict(zip(cols, map(float, found)))
+    return dict(zip(cols, forest.importances(table.select("features", "label"))))
 
 
 def select_by_importance(

@@ -5,14 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from labelrank.operators.bayes import GaussianNaiveBayes
 from labelrank.operators.boosting import HistogramBoosting
+from labelrank.operators.forest import HistogramForest
 from labelrank.operators.neighbors import NearestNeighbors
 from labelrank.plans.stacking import Stacking
 
@@ -53,8 +52,7 @@ def models(
     balanced = {} if weight is None else {"weightCol": weight}
     f = shape.features
     return {
-        "RandomForest": RandomForestClassifier(
-            maxDepth=10, numTrees=1000, minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=SEED),
+        "RandomForest": HistogramForest(maxDepth=10, numTrees=1000, minSplit=10, minInstancesPerNode=1, subset="sqrt", seed=SEED),
         "BoostedTreesWeighted": HistogramBoosting(
             maxDepth=10, maxIter=boosting_rounds or 1000, stepSize=0.1, minGain=0.2, subsamplingRate=0.9, columnRate=0.9, l1=0.5, l2=1.5,
             minHessian=1.0, seed=SEED, **balanced),
@@ -83,8 +81,8 @@ def tuned_models(
     shape: Shape, key: str = "row_key", boosting_rounds: int | None = None, with_stacking: bool = True
 ) -> dict[str, tuple[Estimator, list]]:
     """Default models, each with the grid of settings to search; ``boosting_rounds`` as for ``models``."""
-    # Grids and layer sizes. Depth 30 is Spark's limit and stands for an unlimited one.
-    forest = RandomForestClassifier(numTrees=100, maxDepth=30, seed=SEED)
+    # Grids and layer sizes. Depth 0 is an unlimited one.
+    forest = HistogramForest(numTrees=100, maxDepth=0, seed=SEED)
     boost_a = HistogramBoosting(maxDepth=6, maxIter=boosting_rounds or 100, stepSize=0.3, l2=1.0, minHessian=1.0, seed=SEED)
     boost_b = HistogramBoosting(grow="level", maxDepth=6, maxIter=boosting_rounds or 1000, stepSize=0.03, l2=3.0, seed=SEED + 1)
     knn = NearestNeighbors(k=5, p=2.0, weights="uniform", keyCol=key)
@@ -103,7 +101,7 @@ def tuned_models(
         "RandomForest": (
             forest,
             ParamGridBuilder().addGrid(forest.numTrees, [50, 100, 200])
-            .addGrid(forest.maxDepth, [30, 10, 20]).build(),
+            .addGrid(forest.maxDepth, [0, 10, 20]).build(),
         ),
         "BoostedTreesA": (boost_a, boost_grid(boost_a)),
         "BoostedTreesB": (boost_b, boost_grid(boost_b)),

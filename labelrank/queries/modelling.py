@@ -5,6 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from labelrank.operators.bayes import GaussianNaiveBayes
+from labelrank.operators.forest import HistogramForest
 from labelrank.operators.groups import label_winners
 from labelrank.operators.neighbors import NearestNeighbors
 from labelrank.operators.prep import assemble
@@ -57,6 +58,55 @@ for _query_name, _model in {
     _train_query(_query_name, _model)
 
 
+_SPLIT_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _split_sql(rows: str, tag: str) -> str:
+    """The cut of the lowest Gini impurity over the rows: (f, x)."""
+    return f"""
+v{tag} as (
+  select f, x, count(*) n, sum(y) p
+  from (select unnest({_SPLIT_COLUMNS}) f, unnest([{', '.join(f'{c}::double' for c in _SPLIT_COLUMNS)}]) x, y from {rows}) group by all
+),
+c{tag} as (
+  select f, x, sum(n) over (partition by f order by x) n, sum(p) over (partition by f order by x) p,
+         sum(n) over (partition by f) tn, sum(p) over (partition by f) tp from v{tag}
+),
+b{tag} as (
+  select f, x from c{tag} where n < tn
+  order by ((n - p) ** 2 + p ** 2) / n + ((tn - tp - n + p) ** 2 + (tp - p) ** 2) / (tn - n) desc, f, x limit 1
+)"""
+
+
+_BELOW = " ".join(["case f", *[f"when '{c}' then {c}::double" for c in _SPLIT_COLUMNS], "end"])
+
+
+@query(f"""with r as (select *, cast(l_returnflag = 'R' as int) y from lineitem), {_split_sql('r', '')},
+lo as (select r.* from r, b where {_BELOW} <= x), {_split_sql('lo', '_lo')},
+hi as (select r.* from r, b where {_BELOW} > x), {_split_sql('hi', '_hi')}
+select '' path, b.f as feature, b.x as cut, round((select avg(y) from r), 9) share from b
+union all select 'L', f, x, round((select avg(y) from lo), 9) from b_lo
+union all select 'R', f, x, round((select avg(y) from hi), 9) from b_hi
+union all select 'LL', null, null, round(avg(y), 9) from lo, b_lo where {_BELOW} <= x
+union all select 'LR', null, null, round(avg(y), 9) from lo, b_lo where {_BELOW} > x
+union all select 'RL', null, null, round(avg(y), 9) from hi, b_hi where {_BELOW} <= x
+union all select 'RR', null, null, round(avg(y), 9) from hi, b_hi where {_BELOW} > x""")
+def forest_tree(spark, sf_dir):
+    """The nodes of one tree of two levels over all items and three columns, nothing drawn; its table goes through the node queue."""
+    items = spread_table(spark, sf_dir, "lineitem", *_SPLIT_COLUMNS, "l_returnflag")
+    rows = assemble(items.withColumn("label", (F.col("l_returnflag") == "R").cast("double")), _SPLIT_COLUMNS)
+    forest = HistogramForest(numTrees=1, maxDepth=2, subset="all", bootstrap=False, smallBytes=0)
+    tree = {k: v[0] for k, v in forest.fit(rows).trees.to_pydict().items()}
+    path = {0: ""}
+    for node, (left, right) in enumerate(zip(tree["left"], tree["right"])):  # parents come before their children
+        if left > 0:
+            path[left], path[right] = path[node] + "L", path[node] + "R"
+    nodes = [
+        (path[i], _SPLIT_COLUMNS[f] if f >= 0 else None, c if f >= 0 else None, round(v, 9))
+        for i, (f, c, v) in enumerate(zip(tree["feature"], tree["cut"], tree["value"]))]
+    return spark.createDataFrame(nodes, "path string, feature string, cut double, share double")
+
+
 _KNN = f"""with s as (select vec_id, embedding, label, {sql_hash(42, 'vec_id')} / 4294967296.0::double < 0.2 is_test from embeddings),
 d as (
   select q.vec_id, t.vec_id tid, t.label,

@@ -16,10 +16,10 @@ def test_forest_selection_has_all_trees(spark, sf_dir, monkeypatch, name):
     def forest(**kw):
         raise Asked(kw["numTrees"], kw["maxDepth"])
 
-    monkeypatch.setattr(prep, "RandomForestClassifier", forest)
+    monkeypatch.setattr(prep, "HistogramForest", forest)
     with pytest.raises(Asked) as found:
         getattr(preparing, name)(spark, sf_dir)
-    assert found.value.args == (1000, 30)
+    assert found.value.args == (1000, 0)
 
 
 ROUNDS = {"BoostedTreesWeighted": 1000, "BoostedTreesDeep": 500, "BoostedTreesLeafy": 200}
