@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,6 +13,7 @@ from labelrank.operators.bayes import GaussianNaiveBayes
 from labelrank.operators.boosting import HistogramBoosting
 from labelrank.operators.forest import HistogramForest
 from labelrank.operators.neighbors import NearestNeighbors
+from labelrank.operators.network import FeedForward
 from labelrank.plans.stacking import Stacking
 
 SEED = 42
@@ -65,7 +66,7 @@ def models(
         "LogisticL1": LogisticRegression(
             elasticNetParam=1.0, regParam=shape.reg(1.0), maxIter=100, standardization=False),
         "GaussianNB": GaussianNaiveBayes(),
-        "ANN": MultilayerPerceptronClassifier(layers=[f, 50, 50, 50, 2], maxIter=100, blockSize=32, seed=SEED),
+        "ANN": FeedForward(layers=[f, 50, 50, 50, 1], dropout=[0.0, 0.3, 0.0], maxIter=100, batchSize=32, keyCol=key, seed=SEED),
     }
 
 
@@ -88,8 +89,8 @@ def tuned_models(
     knn = NearestNeighbors(k=5, p=2.0, weights="uniform", keyCol=key)
     svm = LinearSVC(regParam=shape.reg(1.0), maxIter=100, standardization=False)
     logistic = LogisticRegression(regParam=shape.reg(1.0), maxIter=100, standardization=False)
-    layers = [shape.features, 128, 64, 64, 32, 64, 32, 16, 2]
-    ann = MultilayerPerceptronClassifier(layers=layers, seed=SEED)
+    layers = [shape.features, 128, 64, 64, 32, 64, 32, 16, 1]
+    ann = FeedForward(layers=layers, dropout=[0.5] * 7, keyCol=key, seed=SEED)
 
     def boost_grid(model: HistogramBoosting) -> list:
         return (
@@ -115,8 +116,8 @@ def tuned_models(
         ),
         "ANN": (
             ann,
-            ParamGridBuilder().addGrid(ann.maxIter, [10, 20]).addGrid(ann.blockSize, [32, 64])
-            .addGrid(ann.solver, ["l-bfgs", "gd"]).build(),
+            ParamGridBuilder().addGrid(ann.maxIter, [10, 20]).addGrid(ann.batchSize, [32, 64])
+            .addGrid(ann.optimizer, ["adam", "sgd", "rmsprop"]).build(),
         ),
     }
     if with_stacking:

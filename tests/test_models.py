@@ -39,10 +39,10 @@ def test_registry_settings(table):
     found = registry.models(registry.shape_of(table, 4))
     assert found["RandomForest"].getNumTrees() == 1000 and found["RandomForest"].getMaxDepth() == 10
     assert found["BoostedTreesWeighted"].getMaxIter() == 1000 and found["BoostedTreesDeep"].getMaxIter() == 500
-    assert found["BoostedTreesLeafy"].getMinInstancesPerNode() == 20 and found["ANN"].getLayers() == [4, 50, 50, 50, 2]
+    assert found["BoostedTreesLeafy"].getMinInstancesPerNode() == 20 and found["ANN"].getLayers() == [4, 50, 50, 50, 1]
     grids = {n: len(g) for n, (_, g) in registry.tuned_models(registry.shape_of(table, 4)).items()}
     assert grids == {"RandomForest": 9, "BoostedTreesA": 9, "BoostedTreesB": 9, "KNN": 6, "SVM": 3, "GaussianNB": 1,
-                     "LogisticRegression": 3, "ANN": 8, "Stacking": 1}
+                     "LogisticRegression": 3, "ANN": 12, "Stacking": 1}
 
 
 def test_scores_separate_the_classes(table, fitted):
@@ -137,7 +137,7 @@ def test_grid_search_and_refit(table):
     searches = registry.tuned_models(registry.shape_of(table, 4), boosting_rounds=2, with_stacking=False)
     searches = {n: searches[n] for n in ("LogisticRegression", "ANN")}
     found = tuning.grid_search(table, searches, k=2, stratify=False).cache()
-    assert {r.model: r["count"] for r in found.groupBy("model").count().collect()} == {"LogisticRegression": 3, "ANN": 8}
+    assert {r.model: r["count"] for r in found.groupBy("model").count().collect()} == {"LogisticRegression": 3, "ANN": 12}
     best = tuning.best_settings(found, searches)
     top = {r.model: r.top for r in found.groupBy("model").agg(F.max("mean_accuracy").alias("top")).collect()}
     chosen = found.where("model = 'LogisticRegression'").orderBy(F.desc("mean_accuracy"), "candidate").first()
