@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, Has
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelrank.operators.paths import SharedPath
 from labelrank.operators.saving import SavedModel
 
 #: Cells (rows x features) of a task, and cells that are added up at once.
@@ -252,9 +253,11 @@ class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasWeightCol,
             o("minInstancesPerNode"), o("subsamplingRate"), o("columnRate"), o("seed") % 2**31)
 
 
-class HistogramBoosting(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):
+class HistogramBoosting(SharedPath, Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):
     """Fits on rows whose label is 0 or 1 (rows with a null label do not count); there must be one at least."""
 
+    _length = "maxIter"
+
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", weightCol=None, maxIter=100, stepSize=0.1,
                  seed=42, maxDepth=6, grow="depth", maxLeaves=31, l2=1.0, l1=0.0, minGain=0.0, minHessian=0.0, minInstancesPerNode=1,
@@ -262,6 +265,10 @@ class HistogramBoosting(Estimator, _BoostParams, DefaultParamsReadable, DefaultP
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
+    def _fit_path(self, dataset: DataFrame, lengths: Sequence[int]) -> list[HistogramBoostingModel]:
+        longest = self.copy({self.maxIter: max(lengths)})._fit(dataset)
+        return [HistogramBoostingModel(longest.trees.slice(0, n)) for n in lengths]
+
     def _fit(self, dataset: DataFrame) -> HistogramBoostingModel:
         s, spark = self.settings(), dataset.sparkSession
         weight = F.col(self.getWeightCol()).cast("double") if self.isDefined(self.weightCol) else F.lit(1.0)

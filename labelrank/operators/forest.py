@@ -22,7 +22,7 @@ bound.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelrank.operators.boosting import _binned, _mixed
+from labelrank.operators.paths import SharedPath
 from labelrank.operators.saving import SavedModel
 from labelrank.session import discard, staged
 
@@ -371,12 +372,14 @@ class _ForestParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
         return Settings(o("numTrees"), o("maxDepth"), o("minSplit"), o("minInstancesPerNode"), looked_at, o("bootstrap"), o("seed") % 2**31)
 
 
-class HistogramForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParamsWritable):
+class HistogramForest(SharedPath, Estimator, _ForestParams, DefaultParamsReadable, DefaultParamsWritable):
     """Fits on rows whose label is 0 or 1 (rows with a null label do not count); there must be one at least.
 
     Missing values lie above all others.
     """
 
+    _length = "numTrees"
+
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=100, maxDepth=0, minSplit=2,
                  minInstancesPerNode=1, subset="sqrt", bootstrap=True, seed=42, maxBins=255, smallBytes=1 << 25, nodeRows=200_000,
@@ -384,6 +387,10 @@ class HistogramForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
         super().__init__()
         self._set(**self._input_kwargs)
 
+    def _fit_path(self, dataset: DataFrame, lengths: Sequence[int]) -> list[HistogramForestModel]:
+        longest = self.copy({self.numTrees: max(lengths)})._fit(dataset)
+        return [HistogramForestModel(longest.trees.slice(0, n)) for n in lengths]
+
     def _binned(self, dataset: DataFrame) -> tuple[DataFrame, list[np.ndarray], int, int]:
         """(stored table of bins with counts per class, edges, width, its rows)."""
         x, y = vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")

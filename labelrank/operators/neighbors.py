@@ -14,7 +14,7 @@ Nothing is approximate: a cell is left out only if all of its rows are provably
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,10 +27,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from labelrank.functions.hashing import key_hash
+from labelrank.operators.paths import Handed, alike
 from labelrank.operators.saving import SavedModel
 from labelrank.session import small_rows, staged
 
 _SLAB_CELLS = 4_000_000
+#: Parameters that do not change which rows are near, only how many of them vote and how.
+VOTE = ("k", "weights")
 
 
 def _matrix(values) -> np.ndarray:
@@ -102,6 +105,15 @@ class NearestNeighbors(Estimator, _NeighborParams, DefaultParamsReadable, Defaul
         )
         return self._copyValues(NearestNeighborsModel(staged(train, "neighbours")))
 
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, NearestNeighborsModel]]:
+        """Settings of the vote share one copy of the training table."""
+        def fit(group: Sequence[int]) -> list[NearestNeighborsModel]:
+            each = [self.copy(paramMaps[i]) for i in group]
+            first = each[0]._fit(dataset)
+            return [e._copyValues(NearestNeighborsModel(first.train)) for e in each]
+
+        return Handed(alike(self, paramMaps, VOTE), fit)
+
 
 class NearestNeighborsModel(Model, _NeighborParams, SavedModel):
     """The fitted model is the training table itself, in a copy of its own."""
@@ -238,10 +250,29 @@ class NearestNeighborsModel(Model, _NeighborParams, SavedModel):
             F.try_divide(ones, F.sum("vote")).alias("score"),
         )
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def _keyed(self, dataset: DataFrame) -> DataFrame:
         key = self._get("keyCol")
         absent = F.raise_error(F.lit(f"null in the row key {key}")).cast(dataset.schema[key].dataType)
-        dataset = dataset.withColumn(key, F.coalesce(F.col(key), absent))
+        return dataset.withColumn(key, F.coalesce(F.col(key), absent))
+
+    @staticmethod
+    def predict_each(models: Sequence[NearestNeighborsModel], dataset: DataFrame) -> DataFrame:
+        """The rows with a prediction per model: one search for the largest k; all models have one training table."""
+        widest = max(models, key=lambda m: m._get("k"))
+        dataset = widest._keyed(dataset)
+        near = widest.neighbors(dataset).withColumn("_rn", F.row_number().over(Window.partitionBy("query").orderBy("dist", "train")))
+        near = near.withColumn("_exact", F.min("dist").over(Window.partitionBy("query")) == 0)
+        by_distance = F.when(F.col("_exact"), (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("dist")))
+        votes = near.groupBy("query", "label").agg(*[
+            F.sum(F.when(F.col("_rn") <= m._get("k"), F.lit(1.0) if m._get("weights") == "uniform" else by_distance)).alias(f"_v{i}")
+            for i, m in enumerate(models)])
+        won = votes.groupBy(F.col("query").alias("_query")).agg(*[
+            F.min_by("label", F.when(F.col(f"_v{i}").isNotNull(), F.struct(-F.round(f"_v{i}", 6), F.col("label")))).alias(f"_p{i}")
+            for i in range(len(models))])
+        return dataset.join(won, F.col(widest._get("keyCol")) == F.col("_query")).drop("_query")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        key, dataset = self._get("keyCol"), self._keyed(dataset)
         won = self.elected(dataset).select(
             F.col("query").alias("_query"), F.col("prediction").alias(self.getPredictionCol()),
             F.col("score").alias(self._get("scoreCol")),

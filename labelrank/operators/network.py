@@ -15,7 +15,7 @@ the size of a batch should grow with the table. A table that fits in one task ne
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from labelrank.operators.boosting import CELLS, _mixed
+from labelrank.operators.paths import SharedPath
 from labelrank.operators.saving import SavedModel
 from labelrank.session import discard, staged
 
@@ -132,10 +133,12 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasS
         return self.getOrDefault(self.layers)
 
 
-class FeedForward(Estimator, _NetParams, DefaultParamsReadable, DefaultParamsWritable):
+class FeedForward(SharedPath, Estimator, _NetParams, DefaultParamsReadable, DefaultParamsWritable):
     """Fits on rows whose label is 0 or 1 (rows with a null label do not count); there must be one at least, and no
     feature may be missing. Without ``keyCol`` equal rows join the same batch; with null or equal keys, so do theirs."""
 
+    _length = "maxIter"
+
     @keyword_only
     def __init__(self, *, layers, featuresCol="features", labelCol="label", predictionCol="prediction", dropout=(), optimizer="adam",
                  stepSize=0.0, batchSize=32, maxIter=100, seed=42, keyCol="", tasks=0, epochsPerJob=20, scoreCol="score"):
@@ -143,12 +146,15 @@ class FeedForward(Estimator, _NetParams, DefaultParamsReadable, DefaultParamsWri
         self._set(**{k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()})
 
     def _fit(self, dataset: DataFrame) -> FeedForwardModel:
+        return self._copyValues(self._fit_path(dataset, [self.getMaxIter()])[0])
+
+    def _fit_path(self, dataset: DataFrame, lengths: Sequence[int]) -> list[FeedForwardModel]:
         o, spark = self.getOrDefault, dataset.sparkSession
         layers, optimizer, seed = o("layers"), o("optimizer"), o("seed") % 2**31
         dropout = o("dropout") or [0.0] * (len(layers) - 2)
         if len(layers) < 2 or layers[-1] != 1 or len(dropout) != len(layers) - 2 or optimizer not in RATES:
             raise ValueError("layers end in one unit, dropout has a share per hidden layer, and the optimizer is adam, sgd or rmsprop")
-        rate, epochs, width = o("stepSize") or RATES[optimizer], o("maxIter"), layers[0]
+        rate, epochs, width = o("stepSize") or RATES[optimizer], max(lengths), layers[0]
         columns = [vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")]
         keyed = [F.col(o("keyCol")).alias("k")] if o("keyCol") else []
         rows = dataset.select(*columns, *keyed).where("y is not null")
@@ -163,8 +169,10 @@ class FeedForward(Estimator, _NetParams, DefaultParamsReadable, DefaultParamsWri
             tasks = max(1, min(o("tasks") or -(-n * width // CELLS), spark.sparkContext.defaultParallelism))
             dealt = rows.repartition(tasks, "key")
             state = np.stack([start(layers, seed), *np.zeros((2, weights(layers)))])
-            for first in range(0, epochs, o("epochsPerJob")):
-                span = range(first, min(epochs, first + o("epochsPerJob")))
+            passed = {0: state[0].tolist()}
+            stops = sorted({*range(0, epochs, o("epochsPerJob")), *lengths})
+            for first, stop in zip(stops, stops[1:]):
+                span = range(first, stop)
                 held = spark.sparkContext.broadcast(state)
 
                 def run(batches: Iterator[pa.RecordBatch], span=span, held=held) -> Iterator[pa.RecordBatch]:
@@ -202,9 +210,10 @@ class FeedForward(Estimator, _NetParams, DefaultParamsReadable, DefaultParamsWri
 
                 state = np.frombuffer(bytes(dealt.mapInArrow(run, "state binary", barrier=True).collect()[0]["state"])).reshape(3, -1).copy()
                 held.destroy()
+                passed[stop] = state[0].tolist()
         finally:
             discard(rows)
-        return self._copyValues(FeedForwardModel(state[0].tolist()))
+        return [FeedForwardModel(passed[n]) for n in lengths]
 
 
 class FeedForwardModel(Model, _NetParams, SavedModel):

@@ -301,7 +301,7 @@ def _searches(rows):
 @query()
 def grid_search(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    found = tuning.grid_search(rows, _searches(rows))
+    found = tuning.grid_search(rows, _searches(rows), parallelism=8)
     return found.select("model", "candidate", F.to_json("params").alias("params"), "mean_accuracy")
 
 
@@ -309,7 +309,7 @@ def grid_search(spark, sf_dir):
 def refit_best(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     searches = _searches(rows)
-    found = tuning.grid_search(rows, searches)
+    found = tuning.grid_search(rows, searches, parallelism=8)
     return tuning.refit_best(rows, found, searches, parallelism=4).metrics.select("model", "fold", "accuracy", "mae")
 
 
