@@ -93,6 +93,22 @@ def html_odd_rows(spark, sf_dir):
     return web.season_stats(pages, ["PLAYER", "GP", "PTS"])
 
 
+@query("""select 1996 + s_nationkey season, s_name || ' of ' || s_nationkey player, s_nationkey::double gp, s_acctbal pts from supplier""")
+def html_nested_rows(spark, sf_dir):
+    """Tables inside cells, a cell that spans all rows of its page, tags in comments, scripts and attributes."""
+    row = F.concat(
+        F.lit("<td title='</td></table> > '>"), F.col("s_name"), F.lit("<table><tr><td> of <!-- </table> --></td><td>"), F.col("s_nationkey"),
+        F.lit("</td></tr></table></td><td colspan=1>"), F.col("s_acctbal").cast("string"), F.lit("<script>'</table>'</script></td></tr>"))
+    page = F.floor(F.col("s_suppkey") / 50).cast("bigint")
+    url = F.concat(web.season_url(BASE, web.season_key(F.lit(1996) + F.col("s_nationkey"))), F.lit("&page="), F.col("page").cast("string"))
+    pages = table(spark, sf_dir, "supplier").groupBy("s_nationkey", page.alias("page")).agg(
+        F.concat_ws("<tr>", F.collect_list(row)).alias("rows"), F.count(F.lit(1)).alias("n")
+    ).select(url.alias("url"), F.concat(
+        F.lit("<!-- <table> --><table><tr><th>GP</th><th>PLAYER</th><th>PTS</th></tr><tr><td rowspan="), F.col("n"), F.lit(">"),
+        F.col("s_nationkey"), F.lit("</td>"), F.col("rows"), F.lit("</table>")).alias("html"))
+    return web.season_stats(pages, ["PLAYER", "GP", "PTS"])
+
+
 _CUSTOMER = """select c_custkey, c_name, c_nationkey, c_acctbal,
        case when c_custkey % 11 = 0 then null else c_mktsegment end c_mktsegment from customer"""
 

@@ -5,17 +5,20 @@ Pages are rows, so all seasons and all result pages of a season come from one jo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from html.entities import html5
+import re
+from collections.abc import Sequence
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Columns taken from the statistics table, and the query part of its address.
 STAT_COLUMNS = ("PLAYER", "GP", "PTS", "FGA", "FTA", "BLK", "STL", "OREB", "AST", "TOV")
 SEASON_QUERY = "?Season=%s&SeasonType=Playoffs"
 
-# Elements that may be left open: what else ends them, besides their own end tag.
-_NEXT = {"tr": "tr", "td": "t[dhr]", "th": "t[dhr]", "table": "table"}
+# Fixed values of the HTML standard: row groups, largest spans.
+_GROUPS = ("thead", "tbody", "tfoot")
+_MOST_COLUMNS, _MOST_ROWS = 1000, 65534
 
 
 def season_key(year: Column | str) -> Column:
@@ -43,69 +46,128 @@ def url_param(url: Column | str, name: str) -> Column:
     return F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("QUERY"), F.lit(name))
 
 
-def _elements(text: Column, tag: str) -> Column:
-    """Contents of the elements; an element ends at its end tag, or where the next one or the table's end shows it."""
-    outer = "" if tag == "table" else r"|</(?:table|thead|tbody|tfoot)\s*>" if tag == "tr" else r"|</(?:table|thead|tbody|tfoot|tr)\s*>"
-    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?=</{tag}\s*>|<{_NEXT[tag]}(?:\s[^>]*)?>{outer}|\z)"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+class _Tables(HTMLParser):
+    """Tables of a page in the order of their start tags, as rows of (tag, text) on a grid of columns.
 
-
-def _numbered(text: Column, pattern: str, prefix: str, code: Callable[[Column], Column]) -> Column:
-    """Replace numbered character references; ``code`` turns the digits into a hex number.
-
-    Numbers that stand for no character give the replacement character.
+    Tags may be left open: a cell ends at the next cell, row or table end, a row at the next row or group of rows.
+    ``found[0]`` takes the rows outside of any table. An inner table has its rows to itself; its text is part of
+    the cell around it as well. Comments, scripts and styles are no text.
     """
-    def known(n: Column) -> Column:
-        value = F.conv(code(n), 16, 10).cast("bigint")
-        bad = (value == 0) | value.between(0xD800, 0xDFFF) | (value > 0x10FFFF)
-        return F.when(bad, "FFFD").otherwise(code(n))
-
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    return F.aggregate(
-        found, text,
-        lambda acc, n: F.replace(
-            acc, F.concat(F.lit(prefix), n, F.lit(";")), F.decode(F.unhex(F.lpad(known(n), 8, "0")), "UTF-32")),
-    )
-
 
-def _decoded(text: Column) -> Column:
-    """Decode character references: numbered ones, then named ones, the ampersand last."""
-    out = F.regexp_replace(text, "&#(0*38|[xX]0*26);", "&amp;")
-    out = _numbered(out, "&#([0-9]{1,7});", "&#", lambda n: F.hex(n.cast("bigint")))
-    out = _numbered(out, "&#x([0-9a-fA-F]{1,6});", "&#x", lambda n: n)
-    names = F.array_distinct(F.regexp_extract_all(out, F.lit("&([A-Za-z][A-Za-z0-9]*;)"), F.lit(1)))
-    table = {n: c for n, c in html5.items() if n.endswith(";") and n != "amp;"}
-    chars = F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
-    out = F.aggregate(
-        names, out, lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n), F.coalesce(F.try_element_at(chars, n), F.concat(F.lit("&"), n))))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
-
-
-def _text(cell: Column) -> Column:
-    """Visible text of a cell: inner tags and line breaks go, surrounding space goes."""
-    broken = F.regexp_replace(cell, r"(?i)<br\s*/?>", " ")
-    plain = F.regexp_replace(F.regexp_replace(broken, r"(?s)<[^>]*>", ""), r"\s+", " ")
-    return F.trim(F.replace(_decoded(plain), F.lit("\u00a0"), F.lit(" ")))
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.found: list[list[list[tuple[str, str]]]] = [[]]
+        self.open = [_Open(self.found[0])]
+        self.feed(html)
+        self.close()
+        for table in self.open:
+            table.end_row()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "table":
+            self.found.append([])
+            self.open.append(_Open(self.found[-1]))
+        elif tag == "tr":
+            self.open[-1].start_row()
+        elif tag in ("td", "th"):
+            self.open[-1].start_cell(tag, dict(attrs))
+        elif tag in _GROUPS:
+            self.open[-1].end_group()
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "table" and len(self.open) > 1:
+            self.open.pop().end_row()
+        elif tag == "tr":
+            self.open[-1].end_row()
+        elif tag in ("td", "th"):
+            self.open[-1].end_cell()
+        elif tag in _GROUPS:
+            self.open[-1].end_group()
+
+    def handle_data(self, data: str) -> None:
+        if self.cdata_elem not in ("script", "style"):
+            for table in self.open:
+                if table.cell is not None:
+                    table.cell[1].append(data)
+
+
+class _Open:
+    """A table that is being read."""
+
+    def __init__(self, rows: list[list[tuple[str, str]]]):
+        self.rows, self.row, self.cell = rows, None, None
+        self.down: dict[int, tuple[int | None, tuple[str, str]]] = {}  # column: rows still covered (None: all), cell
+
+    def start_row(self) -> None:
+        self.end_row()
+        self.row = []
+
+    def start_cell(self, tag: str, attrs: dict[str, str | None]) -> None:
+        self.end_cell()
+        if self.row is None:
+            self.row = []
+        self.cell = (tag, [], _span(attrs.get("colspan"), _MOST_COLUMNS) or 1, _span(attrs.get("rowspan"), _MOST_ROWS))
+
+    def end_cell(self) -> None:
+        if self.cell is not None:
+            tag, parts, wide, high = self.cell
+            text = re.sub(r"[ \t\n\x0b\f\r]+", " ", "".join(parts)).replace("\u00a0", " ").strip(" ")
+            self._covered()
+            for _ in range(wide):
+                if high != 1:
+                    self.down[len(self.row)] = (high or None, (tag, text))
+                self.row.append((tag, text))
+        self.cell = None
+
+    def _covered(self) -> None:
+        """Cells of rows above that reach down to the next places of this row."""
+        while len(self.row) in self.down:
+            self.row.append(self.down[len(self.row)][1])
+
+    def end_row(self) -> None:
+        self.end_cell()
+        if self.row is not None:
+            self._covered()
+            self.rows.append(self.row)
+            self.down = {c: (n and n - 1, cell) for c, (n, cell) in self.down.items() if n != 1}
+        self.row = None
+
+    def end_group(self) -> None:
+        """No cell reaches from one group of rows into the next."""
+        self.end_row()
+        self.down = {}
+
+
+def _span(value: str | None, most: int) -> int:
+    """A span as browsers read it: 1 where it is no number; 0 rows mean all that follow."""
+    digits = re.match(r"\s*([0-9]+)", value or "")
+    return min(int(digits[1][:9]), most) if digits else 1
 
 
 def table_rows(pages: DataFrame, url: str = "url", html: str = "html", table: int = 1) -> DataFrame:
     """(url, header, row, cells): the data rows of each page's table, in order from 1.
 
-    ``table`` counts the tables of a page from 1; a page that has no table tag at all counts as one table. The
-    first table row holds the header cells and is not a data row.
+    ``table`` counts the tables of a page from 1, inner ones too, by their start tags; a page that has no table tag
+    at all counts as one table. The first table row holds the header cells and is not a data row. Cells that span
+    columns or rows are repeated in each of them. A page is read by one task as a whole, pages in Arrow batches.
     """
-    tables = _elements(F.col(html), "table")
-    rows = _elements(F.when(F.size(tables) == 0, F.col(html)).otherwise(F.get(tables, F.lit(table - 1))), "tr")
+    @F.pandas_udf("struct<header: array<string>, cells: array<array<string>>>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        headers, cells = [], []
+        for text in texts:
+            found = _Tables(text or "").found
+            tables = found[1:] or found
+            rows = tables[table - 1] if 0 < table <= len(tables) else []
+            headers.append([t for tag, t in rows[0] if tag == "th"] if rows else None)
+            cells.append([[t for tag, t in row if tag == "td"] for row in rows[1:]])
+        return pd.DataFrame({"header": headers, "cells": cells})
+
     return (
-        pages.select(F.col(url).alias("url"), rows.alias("rows"))
-        .where(F.size("rows") > 1)
-        .select(
-            "url",
-            F.transform(_elements(F.element_at("rows", 1), "th"), _text).alias("header"),
-            F.posexplode("rows").alias("row", "tr"),
-        )
-        .where(F.col("row") > 0)
-        .select("url", "header", "row", F.transform(_elements(F.col("tr"), "td"), _text).alias("cells"))
+        pages.select(F.col(url).alias("url"), read(F.col(html)).alias("_found"))
+        .select("url", "_found.header", F.posexplode("_found.cells").alias("row", "cells"))
+        .select("url", "header", (F.col("row") + 1).alias("row"), "cells")
     )
 
 

@@ -114,3 +114,36 @@ def test_odd_pages(spark):
     rows = [tuple(r) for r in web.season_stats(pages(spark, html), ["PLAYER", "PTS"]).select("player", "pts").collect()]
     assert rows == [("Dončić", 1234.0), ("A B � �", 7.0)]
     assert [r.cells for r in web.table_rows(pages(spark, html), table=2).collect()] == [["T"]]
+
+
+def cells(spark, html, table=1):
+    return [r.cells for r in web.table_rows(pages(spark, html), table=table).orderBy("row").collect()]
+
+
+def test_html_tables_inside_cells(spark):
+    html = "<table><tr><th>A<tr><td>x <table><tr><th>in</th></tr><tr><td>1</td></tr></table> y</td></tr><tr><td>z</table><table><tr><th>B<tr><td>b</table>"
+    assert cells(spark, html) == [["x in1 y"], ["z"]]
+    assert cells(spark, html, 2) == [["1"]] and cells(spark, html, 3) == [["b"]] and cells(spark, html, 4) == [] == cells(spark, html, 0)
+
+
+def test_html_comments_scripts_and_quoted_tags(spark):
+    html = (
+        "<!-- <table><tr><td>no</td></tr></table> --><table title='a > b'><script>document.write('</table><tr><td>')</script><style>td > b {}</style>"
+        '<tr><th>A</th></tr><tr class="</tr>"><td data="<td>">1<!-- </td> --></td></tr></table>')
+    assert cells(spark, html) == [["1"]]
+
+
+def test_html_spans(spark):
+    html = (
+        "<table><thead><tr><th>A</th><th colspan=2>B</th></tr></thead><tbody><tr><td rowspan=2>a</td><td>1</td><td>2</td></tr>"
+        "<tr><td colspan='2'>3</td></tr><tr><td>b</td><td rowspan=0>4</td><td>5</td></tr><tr><td>c</td><td>6</td></tr></tbody>"
+        "<tbody><tr><td colspan=x>d</td><td>7</td></tr></tbody></table>")
+    assert cells(spark, html) == [["a", "1", "2"], ["a", "3", "3"], ["b", "4", "5"], ["c", "4", "6"], ["d", "7"]]
+    assert web.table_rows(pages(spark, html)).first().header == ["A", "B", "B"]
+
+
+def test_html_nulls_and_pages_without_tables(spark):
+    rows = [("u1", None), ("u2", ""), ("u3", "<p>text</p>"), ("u4", "<tr><th>A<tr><td>1"), (None, "<table><tr><th>A<tr><td>2</table>"), ("u6", "</table></td><td")]
+    got = web.table_rows(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted((r.url or "", r.header, r.row, r.cells) for r in got) == [("", ["A"], 1, ["2"]), ("u4", ["A"], 1, ["1"])]
+    assert web.table_rows(spark.createDataFrame([], "url string, html string")).count() == 0
