@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labelrank.operators.paths import SharedPath
 from labelrank.operators.saving import SavedModel
 
-#: Cells (rows x features) of a task, and cells that are added up at once.
-CELLS, STEP = 1 << 26, 1 << 22
+#: Cells (rows x features) of a task, and cells that are worked on at once, so that they stay in a core's cache.
+CELLS, BLOCK = 1 << 26, 1 << 15
 _TREES = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, value array<double>"
 _U = np.uint64
 
@@ -61,7 +61,8 @@ class Settings:
 
     def worth(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """How much lower the loss gets with the best value for rows of these sums."""
-        return self.pull(g) ** 2 / np.maximum(h + self.l2, 1e-300)
+        under = h + self.l2
+        return self.pull(g) ** 2 / (under if self.l2 > 0 else np.maximum(under, 1e-300))
 
     def values(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """What nodes of these sums add to the score; nothing where there are no hessians at all."""
@@ -100,32 +101,39 @@ class Trainer:
                  add_up: Callable[[np.ndarray], np.ndarray]):
         self.codes, self.bins, self.y, self.weight, self.key, self.step, self.s, self.add_up = codes, bins, y, weight, key, step, s, add_up
         self.n, self.features = codes.shape
+        self.by_feature = np.ascontiguousarray(codes.T)  # the same bins again, a feature's together
         self.raw = np.zeros(self.n)
 
     def histogram(self, rows: np.ndarray, node: np.ndarray, nodes: int) -> np.ndarray:
-        """nodes x features x bins x (gradient, hessian, rows) over all tasks, in steps of ``self.step``."""
-        size = self.features * self.bins
-        out = np.zeros((3, nodes * size))
-        offsets = np.arange(self.features) * self.bins
-        chunk = max(1, STEP // self.features)
-        for lo in range(0, len(rows), chunk):
-            r = rows[lo : lo + chunk]
-            cell = (self.codes[r] + offsets + node[lo : lo + chunk, None] * size).ravel()
-            for i, v in enumerate((self.g, self.h, self.drawn)):
-                out[i] += np.bincount(cell, np.repeat(v[r], self.features), nodes * size)
-        return np.moveaxis(self.add_up(out).reshape(3, nodes, self.features, self.bins), 0, -1)
-
-    def gains(self, found: np.ndarray) -> np.ndarray:
-        """nodes x features x bins: what a split behind each bin gains; -inf where it is not allowed."""
+        """(gradient, hessian, rows) x nodes x features x bins over all tasks."""
+        out = np.zeros((3, nodes, self.features, self.bins))
+        place, weights = node * self.bins, [v[rows] for v in (self.g, self.h, self.drawn)]
+        some = max(1, BLOCK // max(1, len(rows)))
+        for lo in range(0, self.features, some):
+            cell = self.by_feature[lo : lo + some, rows] + place
+            cell += np.arange(len(cell))[:, None] * (nodes * self.bins)
+            for i, v in enumerate(weights):
+                found = np.bincount(cell.ravel(), np.tile(v, len(cell)), len(cell) * nodes * self.bins)
+                out[i, :, lo : lo + some] = found.reshape(len(cell), nodes, self.bins).swapaxes(0, 1)
+        return self.add_up(out)
+
+    def gains(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """nodes x features x bins: what a split behind each bin gains, and where it is not allowed."""
         s = self.s
-        left = found.cumsum(axis=2)
-        whole = left[:, :, -1:, :]
+        left = found[:2].cumsum(axis=3)
+        whole = left[..., -1:]
         right = whole - left
-        (gl, hl, nl), (gr, hr, nr), (g, h, _) = (np.moveaxis(a, -1, 0) for a in (left, right, whole))
-        gain = 0.5 * (s.worth(gl / self.step, hl / self.step) + s.worth(gr / self.step, hr / self.step) - s.worth(g / self.step, h / self.step))
-        least = max(1, s.min_rows)
-        bad = (nl < least) | (nr < least) | (np.minimum(hl, hr) < max(s.min_hessian * self.step, 1)) | ~self.columns[None, :, None]
-        return np.where(bad, -np.inf, gain)
+        gain = s.worth(*left)
+        gain += s.worth(*right)
+        gain -= s.worth(*whole)
+        gain *= 0.5
+        # a child without drawn rows has no hessians either
+        bad = np.minimum(left[1], right[1]) < max(s.min_hessian, 1 / self.step)
+        if s.min_rows > 1:
+            rows = found[2].cumsum(axis=2)
+            bad |= np.minimum(rows, rows[..., -1:] - rows) < s.min_rows
+        bad |= ~self.columns[None, :, None]
+        return gain, bad
 
     def round(self, number: int) -> tuple[_Tree, np.ndarray]:
         """The next tree, and the leaf of every row."""
@@ -134,37 +142,50 @@ class Trainer:
         salt = _mixed(np.array([s.seed * 1_000_003 + number], np.uint64))[0]
         self.drawn = (_mixed(self.key ^ salt) >> _U(11)).astype(np.float64) / 2**53 < s.row_share
         self.drawn = self.drawn.astype(np.float64)
-        self.g = np.rint((p - self.y) * self.weight * self.step) * self.drawn
-        self.h = np.rint(p * (1 - p) * self.weight * self.step) * self.drawn
+        self.g = np.rint((p - self.y) * self.weight * self.step) / self.step * self.drawn
+        self.h = np.rint(p * (1 - p) * self.weight * self.step) / self.step * self.drawn
         rng = np.random.default_rng([s.seed, number])
         self.columns = np.zeros(self.features, bool)
         self.columns[rng.permutation(self.features)[: max(1, round(s.column_share * self.features))]] = True
         rows = np.arange(self.n)
         root = self.histogram(rows, np.zeros(self.n, np.int64), 1)
-        tree = _Tree(root[0, 0].sum(axis=0))
+        tree = _Tree(root[:, 0, 0].sum(axis=1))
         leaf = (self._best_leaf if s.grow == "leaf" else self._by_level)(tree, root)
-        sums = np.array(tree.sums) / self.step
+        sums = np.array(tree.sums)
         values = s.values(sums[:, 0], sums[:, 1])
         self.raw += values[leaf]
         tree.values = values
         return tree, leaf
 
+    def _best_splits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per node the best split (feature x bins + bin) and its gain; one for all nodes if they split alike."""
+        nodes, some = found.shape[1], max(1, BLOCK // (self.features * self.bins))
+        parts = (self.gains(found[:, lo : lo + some]) for lo in range(0, nodes, some))
+        if self.s.grow == "level":
+            total, never = np.zeros(found.shape[2:]), np.ones(found.shape[2:], bool)
+            for gain, bad in parts:
+                gain[bad] = 0
+                for one in gain:
+                    total += one
+                never &= bad.all(axis=0)
+            total[never] = -np.inf
+            return np.full(nodes, total.argmax()), np.full(nodes, total.max())
+        best, most = [], []
+        for gain, bad in parts:
+            gain[bad] = -np.inf
+            flat = gain.reshape(len(gain), -1)
+            best.append(flat.argmax(axis=1))
+            most.append(flat.max(axis=1))
+        return np.concatenate(best), np.concatenate(most)
+
     def _by_level(self, tree: _Tree, found: np.ndarray) -> np.ndarray:
         s = self.s
         leaf = np.zeros(self.n, np.int64)
         place = np.zeros(self.n, np.int64)  # of a row's node among the open nodes, -1 if it is closed
         opened = np.array([0])
-        for _ in range(s.depth):
-            gain = self.gains(found)
-            if s.grow == "level":
-                total = np.where(np.isfinite(gain), gain, 0).sum(axis=0)
-                total[~np.isfinite(gain).any(axis=0)] = -np.inf
-                best = np.full(len(opened), int(np.argmax(total)))
-                good = np.full(len(opened), total.max() > s.min_gain + 1e-12)
-            else:
-                flat = gain.reshape(len(opened), -1)
-                best = flat.argmax(axis=1)
-                good = flat.max(axis=1) > s.min_gain + 1e-12
+        for level in range(s.depth):
+            best, most = self._best_splits(found)
+            good = most > s.min_gain + 1e-12
             if not good.any():
                 break
             feature, b = np.divmod(best, self.bins)
@@ -173,18 +194,24 @@ class Trainer:
             at = place[rows]
             right = self.codes[rows, feature[at]] > b[at]
             order = np.cumsum(good) - 1
-            under = self.histogram(rows[~right], order[at[~right]], int(good.sum()))
-            above = found[good] - under
+            child = 2 * order[at] + right
+            if level + 1 < s.depth:
+                under = self.histogram(rows[~right], order[at[~right]], int(good.sum()))
+                above = (found if good.all() else found[:, good]) - under
+                sums = np.stack([under[:, :, 0].sum(axis=2), above[:, :, 0].sum(axis=2)], axis=2).reshape(3, -1)
+            else:  # the last level splits no more, so its sums are enough
+                sums = self.add_up(np.array([np.bincount(child, v[rows], 2 * int(good.sum())) for v in (self.g, self.h, self.drawn)]))
             born = np.array([
-                tree.split(int(opened[k]), int(feature[k]), int(b[k]), under[order[k], 0].sum(axis=0), above[order[k], 0].sum(axis=0))
-                for k in np.flatnonzero(good)])
+                tree.split(int(opened[k]), int(feature[k]), int(b[k]), sums[:, 2 * i], sums[:, 2 * i + 1]) for i, k in enumerate(np.flatnonzero(good))])
             leaf[rows] = born[order[at], right.astype(np.int64)]
+            if level + 1 == s.depth:
+                break
             place = np.full(self.n, -1)
-            both = np.stack([under, above], axis=1).reshape(-1, *under.shape[1:])
-            held = both[:, 0, :, 2].sum(axis=1) > 0  # nodes without drawn rows stay as they are
+            found = np.stack([under, above], axis=2).reshape(3, -1, *under.shape[2:])
+            held = sums[2] > 0  # nodes without drawn rows stay as they are
             number = np.where(held, np.cumsum(held) - 1, -1)
-            place[rows] = number[2 * order[at] + right]
-            opened, found = born.reshape(-1)[held], both[held]
+            place[rows] = number[child]
+            opened, found = born.reshape(-1)[held], found if held.all() else found[:, held]
         return leaf
 
     def _best_leaf(self, tree: _Tree, found: np.ndarray) -> np.ndarray:
@@ -194,7 +221,8 @@ class Trainer:
 
         def offer(node: int, depth: int, own: np.ndarray, rows: np.ndarray) -> None:
             if depth < s.depth:
-                gain = self.gains(own)[0]
+                gain, bad = (a[0] for a in self.gains(own))
+                gain[bad] = -np.inf
                 best = int(np.argmax(gain))
                 if gain.flat[best] > s.min_gain + 1e-12:
                     heapq.heappush(todo, (-gain.flat[best], node, best, depth, own, rows))
@@ -207,7 +235,7 @@ class Trainer:
             right = self.codes[rows, feature] > b
             under = self.histogram(rows[~right], np.zeros(int((~right).sum()), np.int64), 1)
             above = own - under
-            a, c = tree.split(node, feature, b, under[0, 0].sum(axis=0), above[0, 0].sum(axis=0))
+            a, c = tree.split(node, feature, b, under[:, 0, 0].sum(axis=1), above[:, 0, 0].sum(axis=1))
             leaf[rows[~right]], leaf[rows[right]] = a, c
             leaves += 1
             offer(a, depth + 1, under, rows[~right])
