@@ -69,11 +69,9 @@ def test_histogram_edges(spark):
     assert profile.histogram(df.where("x > 100"), "x").count() == 0
 
 
-@pytest.mark.parametrize("repeats", [0, 10**9])
-def test_density_by_hand(spark, monkeypatch, repeats):
+def test_density_by_hand(spark):
     import numpy as np
 
-    monkeypatch.setattr(profile, "_REPEATS", repeats)
     x = np.array([0.0, 1.0, 1.0, 1.0, 2.0, 5.0, 100000.0])
     out = profile.density(spark.createDataFrame([(float(v),) for v in x], "x double"), "x").orderBy("point").toPandas()
     bw = x.std(ddof=1) * len(x) ** -0.2
@@ -93,3 +91,29 @@ def test_density_skips_far_values_without_loss(spark):
     bw = x.std(ddof=1) * len(x) ** -0.2
     want = np.exp(-0.5 * ((np.linspace(0, 10, 50)[:, None] - x) / bw) ** 2).sum(axis=1) / (len(x) * bw * np.sqrt(2 * np.pi))
     assert np.allclose(out.density, want, rtol=1e-9)
+
+
+def test_density_sends_one_row_per_cell(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).lognormal(size=20_000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(4)
+    found = profile.density(df, "x", points=100)
+    out = found.orderBy("point").toPandas()
+    bw = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min(), x.max(), 100)
+    want = np.exp(-0.5 * ((grid[:, None] - x) / bw) ** 2).sum(axis=1) / (len(x) * bw * np.sqrt(2 * np.pi))
+    assert np.abs(out.density - want).max() < 1e-12 and (out.density >= 0).all()
+    high = want > 1e-15
+    assert np.allclose(out.density[high], want[high], rtol=1e-9, atol=0)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    spread = [i for i, line in enumerate(lines) if "Generate explode" in line and "middle" in line]
+    moments = [i for i, line in enumerate(lines) if "Aggregate [series" in line and "AS m11" in line]
+    assert len(spread) == len(moments) == 1 and spread < moments  # points meet cells, not values
+
+
+def test_density_of_flagged_rows_nulls_and_far_heaps(spark):
+    rows = [(0.0, True), (1.0, False), (2.0, None), (None, True), (float("nan"), False), (1e6, True), (1e6, True)]
+    out = profile.density(spark.createDataFrame(rows, "x double, won boolean"), "x", "won", points=3).collect()
+    assert sorted((r.series, r.point) for r in out) == [(s, p) for s in ("all", "winners") for p in range(3)]
+    assert all(r.density >= 0 and r.scaled >= 0 for r in out)
