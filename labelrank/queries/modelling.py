@@ -272,14 +272,14 @@ def compare_holdout(spark, sf_dir):
     """All models on one stratified hold-out, best accuracy first."""
     rows = vectors(spark, sf_dir)
     shape = registry.shape_of(rows, WIDTH)
-    found = training.compare(registry.add_weight(rows, shape), _models(shape), stratify=True, parallelism=4)
+    found = training.compare(registry.add_weight(rows, shape), _models(shape), stratify=True, parallelism=8)
     return found.leaderboard()
 
 
 def _compare_cv(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     shape = registry.shape_of(rows, WIDTH)
-    return training.compare(registry.add_weight(rows, shape), _models(shape), cross_validate=True, parallelism=4)
+    return training.compare(registry.add_weight(rows, shape), _models(shape), cross_validate=True, parallelism=8)
 
 
 @query()
@@ -290,7 +290,7 @@ def compare_cv(spark, sf_dir):
 
 @query()
 def timings(spark, sf_dir):
-    """Mean accuracy, fit time and prediction time of the same models over five folds, four fits at a time."""
+    """Mean accuracy, fit time and prediction time of the same models over five folds, eight fits at a time."""
     return _compare_cv(spark, sf_dir).mean_times()
 
 
@@ -310,7 +310,7 @@ def refit_best(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     searches = _searches(rows)
     found = tuning.grid_search(rows, searches, parallelism=8)
-    return tuning.refit_best(rows, found, searches, parallelism=4).metrics.select("model", "fold", "accuracy", "mae")
+    return tuning.refit_best(rows, found, searches, parallelism=8).metrics.select("model", "fold", "accuracy", "mae")
 
 
 # --- the same flows with models that SQL can express, so that every number can be checked ------------
@@ -416,7 +416,7 @@ from pred_plain join best using (k, weights) group by fold""")
 def refit_best_knn(spark, sf_dir):
     """The best setting, cross-validated again on plain shuffled folds."""
     rows, searches, found = _knn_search(spark, sf_dir)
-    metrics = tuning.refit_best(rows, found, searches, parallelism=4).metrics
+    metrics = tuning.refit_best(rows, found, searches, parallelism=8).metrics
     return metrics.select("model", "fold", F.round("accuracy", 6).alias("accuracy"))
 
 
