@@ -125,3 +125,34 @@ def test_null_key_raises(spark):
     model = NearestNeighbors(k=1, p=2.0, weights="uniform", keyCol="row_key").fit(rows)
     with pytest.raises(Exception, match="null in the row key"):
         model.transform(rows.withColumn("row_key", F.when(F.col("row_key") > 0, F.col("row_key")))).collect()
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0, 2.5])
+def test_products_find_the_same_pairs(p, monkeypatch):
+    """Ties, copies and rows far from the origin: pair for pair what all distances give, hardly any of them measured."""
+    from labelrank.operators import neighbors
+
+    rng = np.random.default_rng(8)
+    train = np.round(rng.normal(size=(6000, 6)), 1) + 50
+    train[10:90] = train[4]
+    queries = np.concatenate([train[:20], rng.normal(size=(600, 6)) + 50])
+    want = neighbors._nearest_plain(queries, train, 5, p)
+    measured, plain = [], neighbors._paired
+    monkeypatch.setattr(neighbors, "_paired", lambda a, b, q, t, p: measured.append(len(q)) or plain(a, b, q, t, p))
+    got = neighbors._nearest(queries, train, 5, p)
+    assert all((x == y).all() for x, y in zip(got, want))
+    assert 0 < sum(measured) < len(queries) * len(train) / 5
+
+
+def test_copies_of_rows_do_not_grow_with_the_square(spark):
+    """Cells rule out nothing here: a row goes to a bounded number of blocks, not to one for every 20 rows."""
+    rng = np.random.default_rng(9)
+    train, queries = rng.normal(size=(1500, 40)), rng.normal(size=(500, 40))
+    model = NearestNeighbors(k=3, p=3.0, broadcastRows=0, blockRows=20, pivots=16).fit(frame(spark, train, np.zeros(1500)))
+    plan = model.neighbors(frame(spark, queries, np.zeros(500), 5000))
+    got = {}
+    for r in plan.orderBy("query", "dist", "train").collect():
+        got.setdefault(r.query, []).append(r.train)
+    assert all(got[5000 + i] == [j for j, _ in want] for i, want in enumerate(brute(queries, train, 3, 3.0)))
+    explodes = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "reachable" not in explodes
