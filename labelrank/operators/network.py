@@ -37,6 +37,8 @@ _U = np.uint64
 #: Step sizes of the optimizers, their decays and what is added to a divisor: the usual defaults.
 RATES = {"adam": 0.001, "sgd": 0.01, "rmsprop": 0.001}
 _FIRST, _SECOND, _RMS, _TINY = 0.9, 0.999, 0.9, 1e-7
+#: Mini-batches whose rows and dropouts are laid out together.
+_AHEAD = 256
 
 
 def weights(layers: list[int]) -> int:
@@ -84,19 +86,29 @@ def kept(key: np.ndarray, units: int, share: float, salt: int) -> np.ndarray | f
 
 def gradients(flat: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, masks: list) -> np.ndarray:
     """Sum over the rows of the gradient of the cross-entropy."""
-    out = np.zeros_like(flat)
-    parts, own = _unpack(flat, layers), _unpack(out, layers)
+    out = np.empty_like(flat)
+    _gradients(_unpack(flat, layers), _unpack(out, layers), x, y, masks)
+    return out
+
+
+def _gradients(parts: list, own: list, x: np.ndarray, y: np.ndarray, masks: list) -> None:
+    """The same from views of the weights into views of the result."""
     seen = [x]
     for (w, b), mask in zip(parts[:-1], masks):
-        seen.append(np.maximum(seen[-1] @ w + b, 0) * mask)
+        z = seen[-1] @ w
+        z += b
+        np.maximum(z, 0, out=z)
+        seen.append(z if isinstance(mask, float) else z * mask)
     w, b = parts[-1]
     delta = (_sigmoid((seen[-1] @ w + b)[:, 0]) - y)[:, None]
     for i in range(len(parts) - 1, -1, -1):
-        own[i][0][:] = seen[i].T @ delta
-        own[i][1][:] = delta.sum(axis=0)
+        np.matmul(seen[i].T, delta, out=own[i][0])
+        delta.sum(axis=0, out=own[i][1])
         if i:
-            delta = (delta @ parts[i][0].T) * (seen[i] > 0) * masks[i - 1]
-    return out
+            delta = delta @ parts[i][0].T
+            delta *= seen[i] > 0
+            if not isinstance(masks[i - 1], float):
+                delta *= masks[i - 1]
 
 
 def step(state: np.ndarray, g: np.ndarray, number: int, optimizer: str, rate: float) -> None:
@@ -108,9 +120,18 @@ def step(state: np.ndarray, g: np.ndarray, number: int, optimizer: str, rate: fl
         second += (1 - _RMS) * (g * g - second)
         w -= rate * g / (np.sqrt(second) + _TINY)
     else:
-        first += (1 - _FIRST) * (g - first)
-        second += (1 - _SECOND) * (g * g - second)
-        w -= rate * np.sqrt(1 - _SECOND**number) / (1 - _FIRST**number) * first / (np.sqrt(second) + _TINY)
+        moved = g - first
+        moved *= 1 - _FIRST
+        first += moved
+        np.multiply(g, g, out=moved)
+        moved -= second
+        moved *= 1 - _SECOND
+        second += moved
+        under = np.sqrt(second)
+        under += _TINY
+        np.multiply(first, rate * np.sqrt(1 - _SECOND**number) / (1 - _FIRST**number), out=moved)
+        moved /= under
+        w -= moved
 
 
 class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasSeed):
@@ -193,18 +214,25 @@ class FeedForward(SharedPath, Estimator, _NetParams, DefaultParamsReadable, Defa
                     x, y, key = map(np.concatenate, (xs, ys, keys))
                     order = np.lexsort((*x.T, y, key))  # the same order however the rows arrived
                     x, y, key = x[order], y[order], key[order]
-                    own = held.value.copy()
+                    own, found = held.value.copy(), np.zeros(held.value.shape[1] + 1)
+                    parts, sums = _unpack(own[0], layers), _unpack(found[:-1], layers)
                     for epoch in span:
                         salt = _mixed(np.array([seed * 1_000_003 + epoch], _U))[0]
                         joins = ((_mixed(key ^ salt) >> _U(11)).astype(np.float64) / 2**53 * batches_of_epoch).astype(np.int64)
                         by_batch = np.argsort(joins, kind="stable")
                         edges = np.searchsorted(joins[by_batch], np.arange(batches_of_epoch + 1))
-                        for b in range(batches_of_epoch):
-                            r = by_batch[edges[b] : edges[b + 1]]
+                        for lo in range(0, batches_of_epoch, _AHEAD):
+                            hi = min(batches_of_epoch, lo + _AHEAD)
+                            r = by_batch[edges[lo] : edges[hi]]
+                            xs, ys = x[r], y[r]
                             masks = [kept(key[r], layers[i + 1], s, int(salt) + i + 1) for i, s in enumerate(dropout)]
-                            sums = add_up(np.append(gradients(own[0], layers, x[r], y[r], masks), len(r)))
-                            if sums[-1]:
-                                step(own, sums[:-1] / sums[-1], epoch * batches_of_epoch + b + 1, optimizer, rate)
+                            for b in range(lo, hi):
+                                at = slice(edges[b] - edges[lo], edges[b + 1] - edges[lo])
+                                _gradients(parts, sums, xs[at], ys[at], [m if isinstance(m, float) else m[at] for m in masks])
+                                found[-1] = edges[b + 1] - edges[b]
+                                total = add_up(found)
+                                if total[-1]:
+                                    step(own, total[:-1] / total[-1], epoch * batches_of_epoch + b + 1, optimizer, rate)
                     if context.partitionId() == 0:
                         yield pa.RecordBatch.from_pydict({"state": pa.array([own.tobytes()], pa.binary())})
 

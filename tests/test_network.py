@@ -111,3 +111,23 @@ def test_bad_input(table):
             FeedForward(layers=layers, **kw).fit(table)
     with pytest.raises(ValueError, match="4 numbers"):
         FeedForward(layers=[4, 4, 1]).fit(table)
+
+
+def test_gradients_into_views_are_those_by_formula():
+    """The buffers of a run are filled anew by every step, whatever they held."""
+    from labelrank.operators import network
+
+    layers, rng = [4, 5, 3, 1], np.random.default_rng(2)
+    flat, x, y = network.start(layers, 3), rng.normal(size=(7, 4)), rng.integers(0, 2, 7).astype(float)
+    masks = [network.kept(np.arange(7).astype(np.uint64), 5, 0.4, 9), 1.0]
+    (w1, b1), (w2, b2), (w3, b3) = network._unpack(flat, layers)
+    s1 = np.maximum(x @ w1 + b1, 0) * masks[0]
+    s2 = np.maximum(s1 @ w2 + b2, 0)
+    d3 = (1 / (1 + np.exp(-(s2 @ w3 + b3))) - y[:, None])
+    d2 = (d3 @ w3.T) * (s2 > 0)
+    d1 = (d2 @ w2.T) * (s1 > 0) * masks[0]
+    want = np.concatenate([v for a, d in ((x, d1), (s1, d2), (s2, d3)) for v in ((a.T @ d).ravel(), d.sum(axis=0))])
+    held = np.full(len(flat) + 1, 8.0)
+    for _ in range(2):
+        network._gradients(network._unpack(flat, layers), network._unpack(held[:-1], layers), x, y, masks)
+        assert np.allclose(held[:-1], want, atol=1e-12) and held[-1] == 8.0
