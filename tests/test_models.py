@@ -158,3 +158,23 @@ def test_a_score_column_is_not_taken_for_the_models(spark):
     rows = rows.withColumn("features", array_to_vector(F.col("f")))
     got = score_all({"lr": LogisticRegression().fit(rows)}, rows, ["row_key"])
     assert got.where("score = 7.0").count() == 0 and got.count() == 20
+
+
+def test_fit_all_fits_at_the_same_time(spark):
+    """Two fits that wait for each other end, and the models keep their names."""
+    import threading
+
+    from pyspark.ml import Estimator
+
+    met = threading.Barrier(2)
+
+    class Waits(Estimator):
+        def __init__(self, mark):
+            super().__init__()
+            self.mark = mark
+
+        def _fit(self, dataset):
+            met.wait(20)
+            return self.mark
+
+    assert training.fit_all({"b": Waits(1), "a": Waits(2)}, spark.range(1), 2) == {"b": 1, "a": 2}
