@@ -102,21 +102,70 @@ class Trainer:
         self.codes, self.bins, self.y, self.weight, self.key, self.step, self.s, self.add_up = codes, bins, y, weight, key, step, s, add_up
         self.n, self.features = codes.shape
         self.by_feature = np.ascontiguousarray(codes.T)  # the same bins again, a feature's together
+        self.by_pair = None
         self.raw = np.zeros(self.n)
 
     def histogram(self, rows: np.ndarray, node: np.ndarray, nodes: int) -> np.ndarray:
         """(gradient, hessian, rows) x nodes x features x bins over all tasks."""
         out = np.zeros((3, nodes, self.features, self.bins))
-        place, weights = node * self.bins, [v[rows] for v in (self.g, self.h, self.drawn)]
-        some = max(1, BLOCK // max(1, len(rows)))
-        for lo in range(0, self.features, some):
-            cell = self.by_feature[lo : lo + some, rows] + place
-            cell += np.arange(len(cell))[:, None] * (nodes * self.bins)
-            for i, v in enumerate(weights):
-                found = np.bincount(cell.ravel(), np.tile(v, len(cell)), len(cell) * nodes * self.bins)
-                out[i, :, lo : lo + some] = found.reshape(len(cell), nodes, self.bins).swapaxes(0, 1)
+        if not self.all_drawn:  # rows that are not drawn add nothing
+            seen = self.drawn[rows] > 0
+            rows, node = rows[seen], node[seen]
+        if len(rows) >= 4 * nodes * self.bins**2:
+            self._by_pairs(out, rows, node, nodes)
+        else:
+            self._by_features(out, rows, node, nodes)
         return self.add_up(out)
 
+    def _by_features(self, out: np.ndarray, rows: np.ndarray, node: np.ndarray, nodes: int) -> None:
+        # features that no split may use are left out but for the first, whose bins give the sums of the nodes
+        wanted = np.flatnonzero(self.columns | (np.arange(self.features) == 0))
+        whole, size = len(rows) == self.n, nodes * self.bins
+        some = max(1, BLOCK // max(1, len(rows)))
+        step = max(BLOCK, 2 * size)
+        for at in range(0, len(rows), step):  # so many rows that their weights stay in the cache for all features
+            r = rows[at : at + step]
+            place, weights = node[at : at + step] * self.bins, [v[r] for v in (self.g, self.h, self.drawn)]
+            for lo in range(0, len(wanted), some):
+                f = wanted[lo : lo + some]
+                if some == 1:
+                    own = self.by_feature[f[0]]
+                    cell = (own[at : at + step] if whole else own[r]) + place
+                else:
+                    cell = self.by_feature[f[:, None], r] + place
+                    cell += np.arange(len(f))[:, None] * size
+                    cell = cell.ravel()
+                for i, v in enumerate(weights):
+                    if i == 2 and self.s.min_rows <= 1:  # only the sums are asked for
+                        if lo == 0:
+                            out[2, :, 0] += np.bincount(cell[: len(r)], v, size).reshape(nodes, self.bins)
+                        continue
+                    found = np.bincount(cell, v if len(f) == 1 else np.tile(v, len(f)), len(f) * size)
+                    out[i][:, f] += found.reshape(len(f), nodes, self.bins).swapaxes(0, 1)
+
+    def _by_pairs(self, out: np.ndarray, rows: np.ndarray, node: np.ndarray, nodes: int) -> None:
+        """The same for many rows a node: two features are counted at once, by their pairs of bins, and told apart after."""
+        if self.by_pair is None:
+            odd = self.by_feature[1::2]
+            self.by_pair = self.by_feature[0::2].astype(np.uint16) * np.uint16(self.bins)
+            self.by_pair[: len(odd)] += odd
+        whole, size = len(rows) == self.n, nodes * self.bins**2
+        step = max(BLOCK, 4 * size)
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            place, weights = node[at : at + step] * self.bins**2, [v[r] for v in (self.g, self.h, self.drawn)]
+            for j, own in enumerate(self.by_pair):
+                if j and not self.columns[2 * j : 2 * j + 2].any():
+                    continue
+                cell = (own[at : at + step] if whole else own[r]) + place
+                for i, v in enumerate(weights):
+                    if i == 2 and self.s.min_rows <= 1 and j:
+                        continue
+                    found = np.bincount(cell, v, size).reshape(nodes, self.bins, self.bins)
+                    out[i, :, 2 * j] += found.sum(axis=2)
+                    if 2 * j + 1 < self.features:
+                        out[i, :, 2 * j + 1] += found.sum(axis=1)
+
     def gains(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """nodes x features x bins: what a split behind each bin gains, and where it is not allowed."""
         s = self.s
@@ -141,6 +190,7 @@ class Trainer:
         p = 1 / (1 + np.exp(-self.raw))
         salt = _mixed(np.array([s.seed * 1_000_003 + number], np.uint64))[0]
         self.drawn = (_mixed(self.key ^ salt) >> _U(11)).astype(np.float64) / 2**53 < s.row_share
+        self.all_drawn = bool(self.drawn.all())
         self.drawn = self.drawn.astype(np.float64)
         self.g = np.rint((p - self.y) * self.weight * self.step) / self.step * self.drawn
         self.h = np.rint(p * (1 - p) * self.weight * self.step) / self.step * self.drawn

@@ -139,3 +139,35 @@ def test_edge_tables(spark):
     with pytest.raises(ValueError):
         HistogramBoosting().fit(table.limit(0))
     assert model.transform(table.limit(0)).count() == 0 and isinstance(model, HistogramBoostingModel)
+
+
+def test_histograms_leave_out_what_no_split_uses(monkeypatch):
+    """Rows that are not drawn, features that are not drawn, and row counts nobody asks for cost nothing; block by block."""
+    from labelrank.operators import boosting
+
+    rng = np.random.default_rng(6)
+    n, features, bins = 5000, 10, 8
+    codes, g, h = rng.integers(0, bins, (n, features)).astype(np.uint8), rng.integers(-9, 9, n).astype(float), rng.integers(0, 9, n).astype(float)
+    s = boosting.Settings(1, 3, 0.1, "depth", 31, 1.0, 0.0, 0.0, 0.0, 1, 0.5, 0.3, 7)
+    t = boosting.Trainer(codes, bins, np.zeros(n), np.ones(n), np.arange(n).astype(np.uint64), 1.0, s, lambda a: a)
+    t.drawn, t.all_drawn, t.columns = (np.arange(n) % 2).astype(float), False, np.arange(features) >= 7
+    t.g, t.h = g * t.drawn, h * t.drawn
+    node = rng.integers(0, 4, n)
+    want = np.zeros((3, 4, features, bins))
+    for i, v in enumerate((t.g, t.h, t.drawn)):
+        for f in range(features):
+            np.add.at(want[i, :, f], (node, codes[:, f]), v)
+    cells, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a: cells.append(len(x)) or plain(x, *a))
+    for block in (1 << 15, 700):
+        monkeypatch.setattr(boosting, "BLOCK", block)
+        cells.clear()
+        found = t.histogram(np.arange(n), node, 4)
+        assert (found[:2][:, :, t.columns] == want[:2][:, :, t.columns]).all() and (found[:, :, 0] == want[:, :, 0]).all()
+        assert sum(cells) <= 7 * n / 2  # two at once
+        cells.clear()
+        found = np.zeros_like(want)
+        seen = np.flatnonzero(t.drawn)
+        t._by_features(found, seen, node[seen], 4)
+        assert (found[:2][:, :, t.columns] == want[:2][:, :, t.columns]).all() and (found[:, :, 0] == want[:, :, 0]).all()
+        assert sum(cells) <= 9 * n / 2
