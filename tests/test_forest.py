@@ -135,3 +135,18 @@ def test_saved_and_loaded(spark, table, tmp_path):
     back = load_model(str(tmp_path), "forest")
     a, b = ({r.row_key: r.score for r in m.transform(table).collect()} for m in (model, back))
     assert a == b
+
+
+def test_weights_travel_with_the_cells(monkeypatch):
+    """A tree reads each weight in the order of its rows only: light ones are sorted along, the tree stays that of heavy ones."""
+    rng = np.random.default_rng(4)
+    codes, w = rng.integers(0, 200, (3000, 5)).astype(np.uint8), rng.integers(0, 3, (2, 3000))
+    s = Settings(1, 0, 2, 1, 2, True, 5)
+    heavy = 1 << 17  # the same shares, but weights that do not fit in 16 bits
+    light, same = grow(codes, w[0], w[1], 11, 0, s), grow(codes, w[0] * heavy, w[1] * heavy, 11, 0, Settings(1, 0, 2 * heavy, heavy, 2, True, 5))
+    pure = [(a == b).all() for a, b in zip(light[:4], same[:4])]
+    assert len(light[0]) > 500 and all(pure) and np.allclose(light[4], same[4])
+    calls, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a: calls.append(len(x)) or plain(x, *a))
+    grow(codes, w[0], w[1], 11, 1, Settings(1, 2, 2, 1, 2, True, 5))
+    assert len(calls) > 4  # upper nodes are counted by bin, not sorted
