@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
-from labelrank.operators.forest import HistogramForest, Settings, _draw, grow
+from labelrank.operators import forest
+from labelrank.operators.forest import HistogramForest, HistogramForestModel, Settings, _draw, grow
 from labelrank.sources.tables import load_model, save_model
 
 FEATURES = 5
@@ -150,3 +152,42 @@ def test_weights_travel_with_the_cells(monkeypatch):
     monkeypatch.setattr(np, "bincount", lambda x, *a: calls.append(len(x)) or plain(x, *a))
     grow(codes, w[0], w[1], 11, 1, Settings(1, 2, 2, 1, 2, True, 5))
     assert len(calls) > 4  # upper nodes are counted by bin, not sorted
+
+
+@pytest.mark.parametrize("queue", [False, True])
+def test_stored_trees_score_like_held_ones(spark, table, tmp_path, monkeypatch, queue):
+    """Trees beyond heldBytes stay in a table that the driver does not read, when they are fitted, scored, cut and saved."""
+    kw = dict(numTrees=6, seed=3, **(dict(smallBytes=0, nodeRows=60, treeBatch=4) if queue else {}))
+    held, stored = HistogramForest(**kw).fit(table), HistogramForest(**kw, heldBytes=0).fit(table)
+    assert held._stored is None and stored._held is None
+    assert stored.trees.equals(held.trees)
+    monkeypatch.setattr(forest, "_PART", 1500)  # several parts and blocks
+    monkeypatch.setattr(forest, "_POINTS", 4000)
+    twice = table.unionByName(table.where("row_key < 20")).withColumn("other", F.col("row_key") * 2)
+    monkeypatch.setattr(HistogramForestModel, "trees", property(lambda self: pytest.fail("trees came to the driver")))
+    got = stored.transform(twice)
+    assert got.columns == [*twice.columns, "score", "prediction"]
+    want, found = (sorted((r.row_key, r.other, round(r.score, 12), r.prediction) for r in d.collect()) for d in (held.transform(twice), got))
+    assert found == want and len(want) == 420
+    save_model(PipelineModel([stored]), str(tmp_path), "forest")
+    assert load_model(str(tmp_path), "forest").transform(table).count() == table.count()
+    few, low = ({r.row_key: r.score for r in m.part(4, 2).transform(table).collect()} for m in (held, stored))
+    assert few == pytest.approx(low, abs=1e-12) and few != {w[0]: w[2] for w in want}
+
+
+@pytest.mark.parametrize("queue", [False, True])
+def test_depths_share_a_fit(table, monkeypatch, queue):
+    kw = dict(seed=5, **(dict(smallBytes=0, nodeRows=60) if queue else {}))
+    estimator = HistogramForest(**kw)
+    grid = [{estimator.numTrees: n, estimator.maxDepth: d} for n in (2, 5) for d in (0, 1, 3)]
+    apart = [estimator.fit(table, params) for params in grid]
+    count, real = [], HistogramForest._fit
+    monkeypatch.setattr(HistogramForest, "_fit", lambda self, rows: count.append(1) or real(self, rows))
+    models = dict(estimator.fitMultiple(table, grid))
+    assert len(count) == 1
+    for i, alone in enumerate(apart):
+        if not queue:
+            assert models[i].trees.equals(alone.trees)
+        assert models[i].getMaxDepth() == alone.getMaxDepth()
+        a, b = ({r.row_key: r.score for r in m.transform(table).collect()} for m in (models[i], alone))
+        assert a == b
