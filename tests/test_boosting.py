@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from labelrank.operators import boosting
 from labelrank.operators.boosting import HistogramBoosting, HistogramBoostingModel, Settings, Trainer
 from labelrank.sources.tables import load_model, save_model
 
@@ -171,3 +172,24 @@ def test_histograms_leave_out_what_no_split_uses(monkeypatch):
         t._by_features(found, seen, node[seen], 4)
         assert (found[:2][:, :, t.columns] == want[:2][:, :, t.columns]).all() and (found[:, :, 0] == want[:, :, 0]).all()
         assert sum(cells) <= 9 * n / 2
+
+
+@pytest.mark.parametrize("min_rows", [1, 5])
+def test_rows_laid_together_give_the_same_sums(monkeypatch, min_rows):
+    """With few rows a node, a row's bins are read together; sums and trees stay those of bins by feature."""
+    rng = np.random.default_rng(2)
+    codes, y = rng.integers(0, 33, (3000, 7)).astype(np.uint8), rng.integers(0, 2, 3000).astype(float)
+    key = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    s = Settings(3, 6, 0.3, "depth", 31, 1.0, 0.0, 0.0, 0.0, min_rows, 0.8, 0.7, 4)
+    real, taken = Trainer._by_rows, []
+    monkeypatch.setattr(Trainer, "_by_rows", lambda self, *a: taken.append(1) or real(self, *a))
+
+    def trees():
+        trainer = Trainer(codes, 33, y, np.ones(3000), key, 2.0**30, s, lambda a: a)
+        return [(t.feature, t.bin, t.left, t.values.tolist(), leaf.tolist()) for t, leaf in map(trainer.round, range(3))]
+
+    by_rows = trees()
+    assert len(taken) >= 10
+    monkeypatch.setattr(boosting, "FEW_ROWS", 0)
+    taken.clear()
+    assert trees() == by_rows and not taken and len(by_rows[0][0]) > 30
