@@ -7,6 +7,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from labelrank.operators.boosting import HistogramBoosting
+from labelrank.operators.forest import HistogramForest
+from labelrank.operators.network import FeedForward
 from labelrank.plans import registry, scoring, training, tuning
 from labelrank.sources.tables import load_model, save_model
 from tests.test_neighbors import frame
@@ -178,3 +181,18 @@ def test_fit_all_fits_at_the_same_time(spark):
             return self.mark
 
     assert training.fit_all({"b": Waits(1), "a": Waits(2)}, spark.range(1), 2) == {"b": 1, "a": 2}
+
+
+def test_fits_of_one_task_begin_first_and_fill_the_cores(spark, monkeypatch):
+    """Long chains of steps do not wait for fits that spread, and no core is left without a fit."""
+    estimators = {
+        "forest": HistogramForest(numTrees=1), "short": HistogramBoosting(maxIter=5), "net": FeedForward(layers=[1, 1]), "long": HistogramBoosting(maxIter=9)}
+    asked, begun = [], []
+    monkeypatch.setattr(training, "at_once", lambda spark, actions, parallelism: asked.append(parallelism) or [a() for a in actions])
+    monkeypatch.setattr(training, "fit_and_count", lambda e, train, test: begun.append(type(e).__name__ + str(e.getMaxIter() if e.hasParam("maxIter") else "")) or (None, 1.0, 1.0, []))
+    table = spark.range(10).selectExpr("id as row_key", "id % 2 as label")
+    training.compare(table, estimators, parallelism=2)
+    assert begun == ["FeedForward100", "HistogramBoosting9", "HistogramBoosting5", "HistogramForest"]
+    assert asked == [max(2, spark.sparkContext.defaultParallelism)]
+    training.compare(table, estimators)
+    assert begun[4:] == ["HistogramForest", "HistogramBoosting5", "FeedForward100", "HistogramBoosting9"] and asked[1] == 1
