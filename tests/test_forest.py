@@ -191,3 +191,17 @@ def test_depths_share_a_fit(table, monkeypatch, queue):
         assert models[i].getMaxDepth() == alone.getMaxDepth()
         a, b = ({r.row_key: r.score for r in m.transform(table).collect()} for m in (models[i], alone))
         assert a == b
+
+
+def test_many_copies_are_drawn_without_a_generator_for_each_row(monkeypatch):
+    key, made = np.random.default_rng(1).integers(0, 2**63, 40_000).astype(np.uint64), []
+    monkeypatch.setattr(np.random, "default_rng", lambda seed, own=np.random.default_rng: made.append(seed) or own(seed))
+    for copies in (17, 60, 360, 5000):
+        drawn = _draw(key, np.full(len(key), copies), 9, 1)
+        assert abs(drawn.mean() - copies) < 5 * (copies / len(key)) ** 0.5
+        assert abs(drawn.var() / copies - 1) < 0.05
+        half = slice(0, None, 2)
+        assert (drawn[half] == _draw(key[half], np.full(len(key) // 2, copies), 9, 1)).all()
+    assert not made
+    mixed = _draw(key[:4], np.array([3, 70_000, 65_536, 40]), 9, 1)
+    assert len(made) == 2 and abs(mixed - [3, 70_000, 65_536, 40]).max() < 2_000
