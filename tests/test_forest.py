@@ -205,3 +205,21 @@ def test_many_copies_are_drawn_without_a_generator_for_each_row(monkeypatch):
     assert not made
     mixed = _draw(key[:4], np.array([3, 70_000, 65_536, 40]), 9, 1)
     assert len(made) == 2 and abs(mixed - [3, 70_000, 65_536, 40]).max() < 2_000
+
+
+@pytest.mark.parametrize("low", [0, 1 << 27])
+def test_sums_beyond_one_number_and_sorted_bins_grow_the_same_tree(low):
+    rng = np.random.default_rng(2)
+    codes = np.stack([rng.integers(0, top, 600) for top in (3, 40, 256)], axis=1).astype(np.uint8)
+    w0, w1 = rng.integers(0, 3, 600), rng.integers(0, 3, 600)
+    s = Settings(1, 0, 2, 1, 2, False, 5)
+    whole = grow(codes, w0 + low, w1 + low, 77, 0, s)
+    again = grow(codes[::-1].copy(), w0[::-1] + low, w1[::-1] + low, 77, 0, s)
+    assert all((a == b).all() for a, b in zip(whole[:5], again[:5])) and np.allclose(whole[5], again[5])
+    feature, cut, left, right, share, _ = whole
+    at = np.zeros(600, int)
+    while (inner := feature[at] >= 0).any():
+        at = np.where(inner, np.where(codes[np.arange(600), feature[at]] <= cut[at], left[at], right[at]), at)
+    for leaf in np.unique(at):
+        own = (w0 + low)[at == leaf].sum(), (w1 + low)[at == leaf].sum()
+        assert share[leaf] == own[1] / max(1, sum(own))
