@@ -193,3 +193,36 @@ def test_rows_laid_together_give_the_same_sums(monkeypatch, min_rows):
     monkeypatch.setattr(boosting, "FEW_ROWS", 0)
     taken.clear()
     assert trees() == by_rows and not taken and len(by_rows[0][0]) > 30
+
+
+@pytest.mark.parametrize("grow", ["depth", "level", "leaf"])
+def test_of_two_siblings_the_smaller_is_counted(monkeypatch, grow):
+    """Most rows lie on the left of every split; leaves, sums and scores are those of the rows."""
+    rng = np.random.default_rng(8)
+    codes = (33 * rng.random((4000, 5)) ** 0.2).astype(np.uint8)
+    codes[:, :2] = 32 - codes[:, :2]
+    y = (rng.random(4000) < np.where((codes[:, 0] > 8) | (codes[:, 1] > 12), 0.9, 0.1)).astype(float)
+    s = Settings(1, 4, 0.3, grow, 8, 1.0, 0.0, 0.0, 0.0, 1, 1.0, 1.0, 4)
+    real, counted = Trainer.histogram, []
+    monkeypatch.setattr(Trainer, "histogram", lambda self, rows, *a: counted.append(len(rows)) or real(self, rows, *a))
+    trainer = Trainer(codes, 33, y, np.ones(4000), np.arange(4000, dtype=np.uint64), 2.0**30, s, lambda a: a)
+    tree, leaf = trainer.round(0)
+    assert counted[0] == 4000 and counted[1] < 2000 and sum(counted[1:]) <= 2000 * (len(counted) - 1)
+    right = codes[:, tree.feature[0]] > tree.bin[0]
+    assert counted[1] == min(right.sum(), (~right).sum()) and right.sum() < 2000
+    at = np.zeros(4000, int)
+    while (inner := np.array(tree.feature)[at] >= 0).any():
+        under = codes[np.arange(4000), np.array(tree.feature)[at]] <= np.array(tree.bin)[at]
+        at = np.where(inner, np.where(under, np.array(tree.left)[at], np.array(tree.right)[at]), at)
+    assert (at == leaf).all()
+    for k in np.unique(leaf):
+        assert tree.sums[k].tolist() == [trainer.g[leaf == k].sum(), trainer.h[leaf == k].sum(), (leaf == k).sum()]
+
+
+def test_bins_come_from_a_short_plan(spark):
+    from labelrank.operators.boosting import _quantiles
+
+    values = [float(v) for v in range(1, 101)]
+    rows = spark.createDataFrame([([v, -v, float("nan") if v > 50 else v],) for v in values], "x array<double>")
+    edges = _quantiles(rows, 3, 4)
+    assert [e.tolist() for e in edges] == [[25.0, 50.0, 75.0], [-76.0, -51.0, -26.0], [13.0, 25.0, 38.0]]
