@@ -156,3 +156,21 @@ def test_copies_of_rows_do_not_grow_with_the_square(spark):
     assert all(got[5000 + i] == [j for j, _ in want] for i, want in enumerate(brute(queries, train, 3, 3.0)))
     explodes = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "reachable" not in explodes
+
+
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_the_own_cell_bounds_the_search_in_others(spark, k):
+    """Small cells, copies at one distance, and a query key that two rows have: the rows found are those of brute force."""
+    rng = np.random.default_rng(12)
+    train = np.round(np.concatenate([rng.normal(size=(300, 2)), rng.normal(size=(40, 2)) * 9, np.zeros((30, 2))]), 1)
+    queries = np.round(rng.normal(size=(60, 2)) * 3, 1)
+    model = NearestNeighbors(k=k, p=3.0, broadcastRows=0, blockRows=40, pivots=60).fit(frame(spark, train, np.zeros(len(train))))
+    asked = frame(spark, queries, np.zeros(60), 1000)
+    plan = model.neighbors(asked.unionByName(frame(spark, queries[:1] + 5, np.zeros(1), 1000)))
+    got = {}
+    for r in plan.orderBy("query", "dist", "train").collect():
+        got.setdefault(r.query, []).append((r.train, r.dist))
+    both = sorted(brute(queries[:1], train, k, 3.0)[0] + brute(queries[:1] + 5, train, k, 3.0)[0], key=lambda h: (round(h[1], 9), h[0]))[:k]
+    wanted = [both, *brute(queries[1:], train, k, 3.0)]
+    assert [[t for t, _ in got[1000 + i]] for i in range(60)] == [[t for t, _ in w] for w in wanted]
+    assert "_bound" in plan._jdf.queryExecution().optimizedPlan().toString()
