@@ -223,3 +223,11 @@ def test_sums_beyond_one_number_and_sorted_bins_grow_the_same_tree(low):
     for leaf in np.unique(at):
         own = (w0 + low)[at == leaf].sum(), (w1 + low)[at == leaf].sum()
         assert share[leaf] == own[1] / max(1, sum(own))
+
+
+def test_no_tree_leaves_its_task_for_importances(table, monkeypatch):
+    seen, real = [], HistogramForest._grown
+    monkeypatch.setattr(HistogramForest, "_grown", lambda self, *a, **kw: seen.append(real(self, *a, **kw)) or seen[-1])
+    found = HistogramForest(numTrees=5).importances(table)
+    assert seen[0].columns == ["tree", "importance"] and sum(found) == pytest.approx(1)
+    assert HistogramForest(numTrees=5, smallBytes=0).importances(table) == pytest.approx(found)
